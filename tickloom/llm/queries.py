@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tickloom.llm.bpe import bpe
 from tickloom.llm.exact_dedup import exact_dedup
 
 
@@ -13,7 +16,13 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op4_bpe(spark, sf_dir):
+    coded = bpe(_table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_bpe": op4_bpe}
 
 ORACLES = {
     "op2_exact_dedup": r"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.bpe import bpe
 from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.jaccard_join import jaccard_components
 
 
 def _table(spark, sf_dir, name):
@@ -22,7 +23,11 @@ def op4_bpe(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_bpe": op4_bpe}
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join}
 
 ORACLES = {
     "op2_exact_dedup": r"""

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 
 #: Longest word, in parts, that is scanned.
 SCAN = 64
-#: Chunks that a worker remembers, and the longest one; bounds memory, not the result.
-REMEMBERED, REMEMBERED_LENGTH = 150_000, 60
+#: Chunks in each of the two generations that a worker remembers, and the longest one; bounds memory, not the result.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 60
 #: Texts in one Arrow batch that goes back.
 SLICE = 512
 NONE = 1 << 60
+#: Bits of an id in a packed pair, and in a packed (rank, merged id).
+ID = 20
 # White space as the library's pattern \s has it.
 SPACE = r"\p{White_Space}"
 
@@ -57,10 +59,10 @@ class Bpe:
         self.tokens = [""] * (1 + max([*self.vocab.values(), *self.added.values()]))
         for token, i in [*self.vocab.items(), *self.added.items()]:
             self.tokens[i] = token
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.ranks[self.vocab[a] << ID | self.vocab[b]] = rank << ID | self.vocab[a + b]
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.end] for x in letters]
@@ -69,6 +71,7 @@ class Bpe:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.space = regex.compile(f"[{SPACE}]+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one word, given as its bytes."""
@@ -77,37 +80,35 @@ class Bpe:
 
     def _scan(self, parts: list[int]) -> list[int]:
         find = self.ranks.get
-        ranks = [find(p, (NONE, 0)) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best[0] == NONE:
-                break
+        ranks = [find(a << ID | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != NONE:
             i = ranks.index(best)
-            parts[i] = best[1]
+            merged = best & (1 << ID) - 1
+            parts[i] = merged
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = find((parts[i - 1], parts[i]), (NONE, 0))
+                ranks[i - 1] = find(parts[i - 1] << ID | merged, NONE)
             if i < len(ranks):
-                ranks[i] = find((parts[i], parts[i + 1]), (NONE, 0))
+                ranks[i] = find(merged << ID | parts[i + 1], NONE)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
         n = len(parts)
         after, before, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
-        queue = [(f[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (f := self.ranks.get((parts[i], parts[i + 1])))]
+        queue = [(f, i, parts[i], parts[i + 1]) for i in range(n - 1) if (f := self.ranks.get(parts[i] << ID | parts[i + 1]))]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
+            best, i, a, b = heapq.heappop(queue)
             j = after[i]
             if not alive[i] or j >= n or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], alive[j] = self.ranks[a, b][1], False
+            parts[i], alive[j] = best & (1 << ID) - 1, False
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (f := self.ranks.get((parts[x], parts[y]))):
-                    heapq.heappush(queue, (f[0], x, parts[x], parts[y]))
+                if x >= 0 and y < n and (f := self.ranks.get(parts[x] << ID | parts[y])):
+                    heapq.heappush(queue, (f, x, parts[x], parts[y]))
         return [p for p, live in zip(parts, alive, strict=True) if live]
 
     def chunk(self, chunk: str) -> bytes:
@@ -126,13 +127,15 @@ class Bpe:
         if not text:
             return np.zeros(0, np.int32)
         chunks = text.split() if not any(x in text for x in "\x1c\x1d\x1e\x1f") else self.space.split(text)
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         known = self.known
         for c in set(chunks):
-            if c not in known and len(c) <= REMEMBERED_LENGTH:
-                known[c] = self.chunk(c)
-        out = np.frombuffer(b"".join([known[c] if c in known else self.chunk(c) for c in chunks]), np.int32)
-        if len(known) > REMEMBERED:
-            known.clear()
+            if c not in known:
+                known[c] = self.older.get(c) or self.chunk(c)
+        out = np.frombuffer(b"".join([known[c] for c in chunks]), np.int32)
+        for c in [c for c in set(chunks) if len(c) > REMEMBERED_LENGTH]:
+            del known[c]
         return out
 
     def decode(self, ids) -> str:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.llm import oracles
 from tickloom.llm.bpe import bpe
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.jaccard_join import jaccard_components
+from tickloom.llm.mixing import mixed
 
 
 def _table(spark, sf_dir, name):
@@ -27,12 +29,10 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join}
+def op10_mixing(spark, sf_dir):
+    return mixed(_table(spark, sf_dir, "documents"))
 
-ORACLES = {
-    "op2_exact_dedup": r"""
-with d as (select doc_id, length(coalesce(text, '')) n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') norm from documents)
-select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
-       row_number() over w = 1 as kept, sha256(norm) as text_sha256, cast(n as bigint) as n_points
-from d window w as (partition by norm order by n desc, doc_id)"""
-}
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join, "op10_mixing": op10_mixing}
+
+ORACLES = {"op2_exact_dedup": oracles.OP2, "op10_mixing": oracles.OP10}

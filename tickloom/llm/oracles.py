@@ -26,9 +26,10 @@ filled as (select *, (select sum(source_size) from sized) - coalesce(sum(lim) ov
 opened as (select *, lim * shares <= rest * weight as complete from filled),
 level as (select arg_max(rest, shares) rest, max(shares) shares from opened where not complete),
 goal as (select o.source s, source_size, case when complete then cast(lim as double) else cast(l.rest as double) * weight / l.shares end as target from opened o left join level l on true),
+celled as (select *, coalesce(doc_id % cast(ceil(count(*) over (partition by source, size) / 50000) as bigint), 0) as part from rows_),
 placed as (select doc_id, source, size, source_size, target, case when source_size = 0 then 0 else round(target / source_size, 9) end as rate,
-                  row_number() over (partition by source order by size, coalesce(doc_id % cast(ceil(count(*) over (partition by source, size) / 50000) as bigint), 0), doc_id nulls first) as place
-           from rows_ join goal on source is not distinct from s),
+                  row_number() over (partition by source order by size, part, doc_id nulls first) as place
+           from celled join goal on source is not distinct from s),
 m0 as (select * exclude (rate), cast(floor(place * rate + 0.5) - floor((place - 1) * rate + 0.5) as bigint) as copies from placed),"""
     + ",".join(_PASS.format(k=k, n=k + 1) for k in range(2))
     + """

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import oracles
+from tickloom.llm import oracles, quality, toxicity
 from tickloom.llm.bpe import bpe
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.jaccard_join import jaccard_components
+from tickloom.llm.labelled import held_out
 from tickloom.llm.mixing import mixed
 
 
@@ -15,6 +16,12 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.BORDER).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -29,10 +36,16 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_bpe": op4_bpe, "op5_jaccard_join": op5_jaccard_join, "op10_mixing": op10_mixing}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_bpe, op5_jaccard_join, op7_toxicity, op10_mixing)}
 
 ORACLES = {"op2_exact_dedup": oracles.OP2, "op10_mixing": oracles.OP10}

@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,16 +148,24 @@ class Bpe:
 _LOADED: dict[int, Bpe] = {}
 
 
+def _loaded(key: int, text: str) -> Bpe:
+    """The worker's tokenizer with what it remembers, kept from task to task."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Bpe(text)
+    return _LOADED[key]
+
+
 def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, decode: bool = True) -> DataFrame:
     """Per row of docs: its id, ids (array of int) and decoded (text; null unless asked for)."""
     spark = docs.sparkSession
     with open(path or default_path(), encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
-    key = hash(held.value)
+    key = zlib.crc32(held.value.encode())
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _LOADED.get(key) or _LOADED.setdefault(key, Bpe(held.value))
+        model = _loaded(key, held.value)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)

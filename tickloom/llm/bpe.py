@@ -156,23 +156,25 @@ def _loaded(key: int, text: str) -> Bpe:
     return _LOADED[key]
 
 
-def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, decode: bool = True) -> DataFrame:
-    """Per row of docs: its id, ids (array of int) and decoded (text; null unless asked for)."""
+def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: its id, the columns to keep, ids (array of int) and decoded (text; null unless asked for)."""
     spark = docs.sparkSession
     with open(path or default_path(), encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
     key = zlib.crc32(held.value.encode())
-    kind = dict(docs.select(id_col).dtypes)[id_col]
+    kept = [id_col, *keep]
+    cols = [f"c{i} {kind}" for i, (_, kind) in enumerate(docs.select(*kept).dtypes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(key, held.value)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                coded = [model.encode(t) for t in part.column(1).to_pylist()]
+                coded = [model.encode(t) for t in part.column(len(cols)).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))
                 texts = pa.array([model.decode(x.tolist()) if decode else None for x in coded], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, texts], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(cols)], ids, texts], names=[*(c.split(" ")[0] for c in cols), "ids", "decoded"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    coded = docs.select(*kept, text_col).mapInArrow(run, ", ".join([*cols, "ids array<int>", "decoded string"]))
+    return coded.toDF(*kept, "ids", "decoded")

@@ -35,3 +35,14 @@ m0 as (select * exclude (rate), cast(floor(place * rate + 0.5) - floor((place -
     + """
 select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, cast(copies as bigint) as copies, source from m2"""
 )
+
+OP8 = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
+                     where label is not null and embedding is not null),
+link as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+         where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(id, other) as (select vec_id, vec_id from embeddings union select r.id, l.b from reach r join link l on l.a = r.other),
+comp as (select id, min(other) component_id from reach group by id),
+n as (select a, count(*) n_links from link group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join comp on id = vec_id left join n on a = vec_id"""

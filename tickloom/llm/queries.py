@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tickloom.llm import oracles, quality, toxicity
+from tickloom.llm import oracles, quality, toxicity, url_filter
 from tickloom.llm.bpe import bpe
+from tickloom.llm.embedding_dedup import embedding_components
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.jaccard_join import jaccard_components
 from tickloom.llm.labelled import held_out
@@ -42,10 +44,22 @@ def op7_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_url_filter(spark, sf_dir):
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_bpe, op5_jaccard_join, op7_toxicity, op10_mixing)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_bpe, op5_jaccard_join, op6_url_filter, op7_toxicity, op8_embedding_dedup, op10_mixing, pipeline)}
 
-ORACLES = {"op2_exact_dedup": oracles.OP2, "op10_mixing": oracles.OP10}
+ORACLES = {"op2_exact_dedup": oracles.OP2, "op6_url_filter": url_filter.oracle(), "op8_embedding_dedup": oracles.OP8, "op10_mixing": oracles.OP10}

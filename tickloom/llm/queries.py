@@ -12,6 +12,8 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.jaccard_join import jaccard_components
 from tickloom.llm.labelled import held_out
 from tickloom.llm.mixing import mixed
+from tickloom.llm.pii import surrogates
+from tickloom.llm.substring_dedup import substring_dedup
 
 
 def _table(spark, sf_dir, name):
@@ -28,6 +30,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark, sf_dir):
+    return surrogates(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     coded = bpe(_table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -52,6 +58,10 @@ def op8_embedding_dedup(spark, sf_dir):
     return embedding_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixed(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +70,6 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_bpe, op5_jaccard_join, op6_url_filter, op7_toxicity, op8_embedding_dedup, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_pii_surrogates, op4_bpe, op5_jaccard_join, op6_url_filter, op7_toxicity, op8_embedding_dedup, op9_substring_dedup, op10_mixing, pipeline)}
 
 ORACLES = {"op2_exact_dedup": oracles.OP2, "op6_url_filter": url_filter.oracle(), "op8_embedding_dedup": oracles.OP8, "op10_mixing": oracles.OP10}

@@ -1,10 +1,12 @@
 """Exact n-gram Jaccard join and its connected components (operator 5).
 
-Sets of word shingles go to tiles of neighbouring size bands. Within a tile a link leaves room for a known number of
-differing elements, so of one part more than that, one must be equal: sets that share no part signature can't link.
-Sets that share one, directly or through others, form a candidate family. A family is compared in blocks of bounded
-size: bit counts of hashed bitmaps bound the overlap from above, and the survivors' sorted arrays are intersected.
-Blocks only give the links that join what wasn't joined, never all pairs; equal sets are one class throughout.
+Sets of word shingles go to tiles of neighbouring size bands. Two sets that link must share many of their smallest
+hashes, so each set publishes those: partitions send sorted Golomb-coded fingerprints to owners, which answer how many
+sets hold each. A set too few of whose published shingles stand elsewhere links with nothing. Of the others, the
+rarest are postings: sets that link share one in a tile. Sets that share a posting, directly or through others, form a
+candidate family. A family is compared in blocks of bounded size: bit counts of hashed bitmaps bound the overlap from
+above, and the survivors' sorted arrays are intersected. Blocks only give the links that join what wasn't joined,
+never all pairs; equal sets are one class throughout.
 
 Defined results: texts without words (or null) have no shingles and link with nothing, so their component is their
 own id; null ids stand in no minimum; rows that repeat a text are one class. An empty table gives no rows.
@@ -13,39 +15,138 @@ A family of m sets in one size band costs up to m * m / 2 bit counts: the exact
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import BROADCAST_KEYS, Workspace, components, semi
-from tickloom.llm.shingles import bands, shingle_set, signatures
+from tickloom.llm.exact_dedup import FP_BITS, golomb_decode, golomb_encode
+from tickloom.llm.shingles import band_of, bands, mix, shingle_set
 
 #: Shingles and sets in a block; bounds a task's memory and time, not the result.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 4096
-#: Texts in one Arrow batch that goes back.
-SLICE = 1024
+#: Texts in one Arrow batch that goes back, and published shingles that a partition codes at a time.
+SLICE, CHUNK = 1024, 1_000_000
+#: Per cent of a set that it publishes beyond what a link leaves room to differ in.
+EXTRA = 20
 
 
-def _digests(width: int, num: int, den: int):
+def published(n: int, num: int, den: int) -> tuple[int, int]:
+    """(smallest hashes that a set of n shows, how many of them it must share with a set that it links with).
+
+    Sets x and y that link share den * overlap >= num * max(n) shingles, hence, for any j up to that, j of the
+    n - ceil(num n / den) + j smallest of each. Here j is EXTRA of the size, of the smaller of the two for both.
+    """
+    part = lambda m: -(-m * EXTRA // 100)
+    least = -(-n * num // den)
+    return min(n, n - least + part(n)), part(least)
+
+
+SENT = pa.schema([("kind", pa.int32()), ("src", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("idx", pa.int32()), ("m", pa.int64()), ("k", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+SENT_SQL = "kind int, src long, owner int, doc_id long, th long, n long, k1 long, k2 long, idx int, m long, k int, blob binary, counts binary, docs binary"
+
+
+def _batch(got: dict, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(size, f.type) for f in SENT], schema=SENT)
+
+
+def _publisher(width: int, num: int, den: int, owners: int):
+    """Rows with their place in their chunk (kind 0), and each owner's sorted fingerprints of the chunk (kind 1)."""
+
+    def lists(src: int, shown: list[np.ndarray]) -> pa.RecordBatch:
+        fp = (np.concatenate(shown) >> np.uint64(64 - FP_BITS)).astype(np.int64)
+        doc = np.repeat(np.arange(len(shown), dtype=np.uint16), [len(x) for x in shown])
+        order = np.argsort(fp, kind="stable")
+        fp, doc = fp[order], doc[order]
+        edges = np.searchsorted((fp >> (FP_BITS - 24)) * owners >> 24, np.arange(owners + 1))
+        got: dict[str, list] = {x: [] for x in ("kind", "src", "owner", "m", "k", "blob", "counts", "docs")}
+        for o in range(owners):
+            part = slice(edges[o], edges[o + 1])
+            if edges[o] == edges[o + 1]:
+                continue
+            values, counts = np.unique(fp[part], return_counts=True)
+            k, blob = golomb_encode(values)
+            for name, x in (("kind", 1), ("src", src), ("owner", o), ("m", len(values)), ("k", k), ("blob", blob), ("counts", zlib.compress(np.minimum(counts, 65535).astype(np.uint16).tobytes(), 1)), ("docs", doc[part].tobytes())):
+                got[name].append(x)
+        return _batch(got, len(got["src"]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        src, shown, held = TaskContext.get().partitionId() << 20, [], 0
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                n, k1, k2, sigs = [], [], [], []
+                got: dict[str, list] = {x: [] for x in ("kind", "src", "n", "k1", "k2", "idx", "m")}
                 for text in part.column(2).to_pylist():
                     s = shingle_set(text, width)
                     key = xxhash.xxh3_128_intdigest(s.tobytes())
-                    n.append(len(s))
-                    k1.append(np.uint64(key >> 64).astype(np.int64))
-                    k2.append(np.uint64(key & (1 << 64) - 1).astype(np.int64))
-                    sigs.append(signatures(s, num, den).view(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(np.array(k1, np.int64)), pa.array(np.array(k2, np.int64)), lists], names=["doc_id", "th", "n", "k1", "k2", "sigs"])
+                    most = published(len(s), num, den)[0]
+                    for name, x in (("kind", 0), ("src", src), ("n", len(s)), ("k1", int(np.uint64(key >> 64).astype(np.int64))), ("k2", int(np.uint64(key & (1 << 64) - 1).astype(np.int64))), ("idx", len(shown)), ("m", most)):
+                        got[name].append(x)
+                    shown.append(s[:most])
+                    held += most
+                    if held >= CHUNK or len(shown) == 65535:
+                        if held:
+                            yield lists(src, shown)
+                        src, shown, held = src + 1, [], 0
+                yield _batch(got | {"doc_id": part.column(0).to_pylist(), "th": part.column(1).to_pylist()}, part.num_rows)
+        if held:
+            yield lists(src, shown)
+
+    return run
+
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """To each list of this range, how many sets hold each of its fingerprints."""
+    m = table["m"].to_pylist()
+    values = np.concatenate([golomb_decode(k, n, b) for k, n, b in zip(table["k"].to_pylist(), m, table["blob"].to_pylist(), strict=True)])
+    counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint16) for x in table["counts"].to_pylist()]).astype(np.int64)
+    _, back = np.unique(values, return_inverse=True)
+    total = np.minimum(np.bincount(back, weights=counts)[back], 65535).astype(np.uint16)
+    answers = [zlib.compress(x.tobytes(), 1) for x in np.split(total, np.cumsum(m)[:-1])]
+    return pa.table({"kind": pa.array([2] * len(m), pa.int32()), "src": table["src"].combine_chunks(), "owner": table["owner"].combine_chunks(), "counts": pa.array(answers, pa.binary())})
+
+
+def _postings(num: int, den: int):
+    """(k1, posting) of the sets of one chunk that may link: their rarest published shingles, in both their tiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {k: table.filter(pa.compute.equal(table["kind"], k)) for k in range(3)}
+        answer = dict(zip(rows[2]["owner"].to_pylist(), rows[2]["counts"].to_pylist(), strict=True))
+        fps, sets, docs = [], [], []
+        for o, k, m, blob, counts, doc in zip(*(rows[1][c].to_pylist() for c in ("owner", "k", "m", "blob", "counts", "docs")), strict=True):
+            here = np.frombuffer(zlib.decompress(counts), np.uint16)
+            fps.append(np.repeat(golomb_decode(k, m, blob), here))
+            sets.append(np.repeat(np.frombuffer(zlib.decompress(answer[o]), np.uint16), here))
+            docs.append(np.frombuffer(doc, np.uint16))
+        k1_out, key_out = [], []
+        if fps:
+            fp, df, doc = np.concatenate(fps), np.concatenate(sets), np.concatenate(docs)
+            shared = df > 1
+            fp, df, doc = fp[shared], df[shared], doc[shared]
+            order = np.lexsort((fp, df, doc))
+            fp, doc = fp[order], doc[order]
+            n = dict(zip(rows[0]["idx"].to_pylist(), zip(rows[0]["k1"].to_pylist(), rows[0]["n"].to_pylist(), rows[0]["m"].to_pylist(), strict=True), strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+            for a, b in zip(starts, [*starts[1:], len(doc)], strict=True):
+                k1, size, shown = n[int(doc[a])]
+                need = published(size, num, den)[1]
+                if b - a < need:
+                    continue
+                rare = fp[a : min(b, a + (shown - need + 1) - (shown - (b - a)))].astype(np.uint64)
+                band = band_of(size, num, den)
+                for tile in (band, band + 1):
+                    key_out.append(mix(mix(rare) + np.uint64(tile)))
+                    k1_out.append(np.full(len(rare), k1, np.int64))
+        whole = lambda xs: np.concatenate(xs).view(np.int64) if xs else np.zeros(0, np.int64)
+        return pa.table({"k1": whole(k1_out), "sig": whole(key_out)})
 
     return run
 
@@ -121,15 +222,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: doc_id, n_shingles, component_id. Sets link when den * intersection >= num * union."""
     work = work or Workspace(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    held = work.write(texts.mapInArrow(_digests(width, num, den), "doc_id long, th long, n long, k1 long, k2 long, sigs array<long>"), "held")
+    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = work.write(texts.mapInArrow(_publisher(width, num, den, owners), SENT_SQL), "sent")
+    held = sent.where("kind = 0").select("doc_id", "th", "n", "k1", "k2")
+    lists = sent.where("kind = 1")
+    answers = lists.select("src", "owner", "m", "k", "blob", "counts").groupBy("owner").applyInArrow(_frequencies, "kind int, src long, owner int, counts binary")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("idx", "int"), ("k1", "long"), ("n", "long"), ("m", "long"), ("k", "int"), ("blob", "binary"), ("docs", "binary"))]
+    cols = ["kind", "src", "owner", "counts", "idx", "k1", "n", "m", "k", "blob", "docs"]
+    told = sent.where("kind < 2 and (kind = 1 or n > 0)").select(*cols).union(answers.select("kind", "src", "owner", "counts", *empty))
+    parts = work.write(told.groupBy("src").applyInArrow(_postings(num, den), "k1 long, sig long"), "postings")
 
-    parts = held.select("k1", F.explode("sigs").alias("sig"))
     shared = parts.groupBy("sig").agg(F.min("k1").alias("hub"), F.max("k1").alias("other")).where("hub <> other").select("sig", "hub")
     shared = work.write(shared, "shared")
     few = shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     edges = parts.join(F.broadcast(shared) if few else shared, "sig").where("k1 <> hub").select(F.col("k1").alias("a"), F.col("hub").alias("b"))
     family = work.write(components(work, edges, "family"), "families")
     work.drop("shared")
+    work.drop("postings")
 
     classes = held.select("k1", "k2", "th", "n").join(family, F.col("k1") == F.col("v"))
     classes = work.write(classes.groupBy("k1", "k2", "comp", "n").agg(F.min("th").alias("th")), "classes")
@@ -168,10 +277,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns; rows with null id stay."""
+def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, with all their columns; rows with null id stay.
+
+    Rows that repeat an id are one document and stay or go together.
+    """
     work = Workspace(docs.sparkSession, "keep_near")
-    found = jaccard_components(docs, id_col, text_col, work=work)
+    found = jaccard_components(docs, id_col, text_col, width=width, num=num, den=den, work=work)
     gone = work.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -1,4 +1,4 @@
-"""Word shingles as sorted arrays of 64-bit hashes, size bands, and the partition signatures of tiles."""
+"""Word shingles as sorted arrays of 64-bit hashes, and size bands."""
 
 from __future__ import annotations
 
@@ -60,35 +60,3 @@ def bands(most: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
 def band_of(size: int, num: int, den: int) -> int:
     most = 1 << max(10, int(size).bit_length())
     return int(np.searchsorted(bands(most, num, den)[0], size, side="right") - 1)
-
-
-def tile_parts(band: int, num: int, den: int, most: int) -> int:
-    """Parts for the tile of a band and the next: one more than the elements in which two sets that link can differ."""
-    low, high = bands(most, num, den)
-    top = int(high[band])
-    # a link needs intersection >= num (a + b) / (num + den), so the sets differ in at most (den - num) (a + b) / (num + den)
-    return (den - num) * (top + top * den // num) // (num + den) + 1
-
-
-def signatures(values: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One hash for each part of each of the set's two tiles. Sets that link and differ share at least one.
-
-    The parts divide all hashes, so an element is in the same part of any set; of more parts than elements that
-    differ, one part must be equal. Tiles of one part hold equal sets only and give nothing.
-    """
-    n = len(values)
-    if not n:
-        return np.zeros(0, np.uint64)
-    most = 1 << max(10, n.bit_length() + 1)
-    own, out = band_of(n, num, den), []
-    for tile in (own - 1, own):
-        if tile < 0 or (k := tile_parts(tile, num, den, most)) < 2:
-            continue
-        spread = mix(values ^ mix(np.array([tile + 1], np.uint64)))
-        part = ((spread >> np.uint64(33)) % np.uint64(k)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(k + 1))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(spread[order], dtype=np.uint64)])
-        total = sums[edges[1:]] - sums[edges[:-1]]
-        out.append(mix(mix(total + np.uint64(tile)) + np.arange(k, dtype=np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -32,9 +32,11 @@ from tickloom.llm.shingles import band_of, bands, mix, shingle_set
 #: Shingles and sets in a block; bounds a task's memory and time, not the result.
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 4096
 #: Texts in one Arrow batch that goes back, and published shingles that a partition codes at a time.
-SLICE, CHUNK = 1024, 1_000_000
+SLICE, CHUNK = 1024, 500_000
+#: Fingerprint ranges for each shuffle partition: one range is what a task holds at a time.
+OWNERS = 4
 #: Per cent of a set that it publishes beyond what a link leaves room to differ in.
-EXTRA = 20
+EXTRA = 10
 
 
 def published(n: int, num: int, den: int) -> tuple[int, int]:
@@ -222,7 +224,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: doc_id, n_shingles, component_id. Sets link when den * intersection >= num * union."""
     work = work or Workspace(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = OWNERS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = work.write(texts.mapInArrow(_publisher(width, num, den, owners), SENT_SQL), "sent")
     held = sent.where("kind = 0").select("doc_id", "th", "n", "k1", "k2")
     lists = sent.where("kind = 1")

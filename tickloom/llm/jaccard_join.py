@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BROADCAST_KEYS, Workspace, components, semi
+from tickloom.llm.common import BROADCAST_KEYS, Workspace, bounded_batches, components, semi
 from tickloom.llm.exact_dedup import FP_BITS, golomb_decode, golomb_encode
 from tickloom.llm.shingles import band_of, bands, mix, shingle_set
 
@@ -134,10 +134,10 @@ def _postings(num: int, den: int):
             shared = df > 1
             fp, df, doc = fp[shared], df[shared], doc[shared]
             order = np.lexsort((fp, df, doc))
-            fp, doc = fp[order], doc[order]
+            fp, doc = fp[order], doc[order].astype(np.int64)
             n = dict(zip(rows[0]["idx"].to_pylist(), zip(rows[0]["k1"].to_pylist(), rows[0]["n"].to_pylist(), rows[0]["m"].to_pylist(), strict=True), strict=True))
-            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-            for a, b in zip(starts, [*starts[1:], len(doc)], strict=True):
+            starts = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else np.zeros(0, np.int64)
+            for a, b in zip(starts, [*starts[1:], len(doc)][: len(starts)], strict=True):
                 k1, size, shown = n[int(doc[a])]
                 need = published(size, num, den)[1]
                 if b - a < need:
@@ -223,6 +223,7 @@ def _block(num: int, den: int):
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, work: Workspace | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id. Sets link when den * intersection >= num * union."""
     work = work or Workspace(docs.sparkSession, "jaccard")
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     owners = OWNERS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = work.write(texts.mapInArrow(_publisher(width, num, den, owners), SENT_SQL), "sent")
@@ -237,7 +238,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = parts.groupBy("sig").agg(F.min("k1").alias("hub"), F.max("k1").alias("other")).where("hub <> other").select("sig", "hub")
     shared = work.write(shared, "shared")
     few = shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    edges = parts.join(F.broadcast(shared) if few else shared, "sig").where("k1 <> hub").select(F.col("k1").alias("a"), F.col("hub").alias("b"))
+    # A set's hubs belong to its least hub: so a set gives one edge of its own, and the rest are edges among few hubs.
+    hubs = parts.join(F.broadcast(shared) if few else shared, "sig").groupBy("k1").agg(F.min("hub").alias("low"), F.collect_set("hub").alias("hubs"))
+    ends = F.array_union(F.array("k1"), F.col("hubs"))
+    edges = hubs.select(F.explode(ends).alias("a"), F.col("low").alias("b"))
     family = work.write(components(work, edges, "family"), "families")
     work.drop("shared")
     work.drop("postings")

@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tickloom.llm.common import bounded_batches
+
 #: Longest word, in parts, that is scanned.
 SCAN = 64
 #: Chunks in each of the two generations that a worker remembers, and the longest one; bounds memory, not the result.
@@ -29,6 +31,8 @@ REMEMBERED, REMEMBERED_LENGTH = 300_000, 60
 #: Texts in one Arrow batch that goes back.
 SLICE = 512
 NONE = 1 << 60
+#: From here on characters are classed one by one.
+BEYOND = "\u0500"
 #: Bits of an id in a packed pair, and in a packed (rank, merged id).
 ID = 20
 # White space as the library's pattern \s has it.
@@ -48,6 +52,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def kinds(text: str) -> str:
+    """The text with a letter, digit or sign for each character beyond ASCII, by its category: the pattern then cuts at the same places.
+
+    The pattern library knows a later version of the character tables than the tokenizer: so the category decides, and
+    what Python's tables leave unassigned counts as a sign.
+    """
+    return "".join(c if c < "\x80" else {"L": "x", "N": "0"}.get(unicodedata.category(c)[0], "#") for c in text)
+
+
 class Bpe:
     """A tokenizer file of the word-end kind: NFC, white space to one blank, lower case, pattern, byte letters, BPE."""
 
@@ -120,8 +133,8 @@ class Bpe:
                 ids.append(self.added[part])
                 continue
             plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-            for m in self.pieces.finditer(plain):
-                ids += self.word(m.group().encode())
+            for m in self.pieces.finditer(plain if max(plain, default="") < BEYOND else kinds(plain)):
+                ids += self.word(plain[m.start() : m.end()].encode())
         return np.array(ids, np.int32).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -159,6 +172,7 @@ def _loaded(key: int, text: str) -> Bpe:
 def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: its id, the columns to keep, ids (array of int) and decoded (text; null unless asked for)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(path or default_path(), encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
     key = zlib.crc32(held.value.encode())

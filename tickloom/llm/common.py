@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most keys (8 bytes each, about 50 MB as a hashed relation) that are ever broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Rows and bytes of an Arrow batch of texts.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to sizes that fit whole texts: batches live in memory outside the heap, several to a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 class Workspace:
     """Intermediate tables, written once to the shared folder: later reads survive lost executors and see one fixed content.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,15 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(True))
 
 
+def give_back() -> None:
+    """Returns the memory of a finished training to the system: the driver goes on to plan other work."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
     """(text, label) of at most `most` labelled rows that are not held out, half of each label where there are enough.
 
@@ -23,5 +35,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tu
         return []
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id, r.y, r.h) for r in chosen], "doc_id long, y int, h long")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    return [(r.text or "", r.y) for r in sorted(found, key=lambda r: (r.h, r.doc_id, r.text or ""))]
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", "h", "doc_id").toLocalIterator()
+    rows = sorted(((r.h, r.doc_id, r.text or "", r.y) for r in found), key=lambda r: r[:3])
+    return [r[2:] for r in rows]

@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.labelled import sample
+from tickloom.llm.common import bounded_batches
+from tickloom.llm.labelled import give_back, sample
 from tickloom.llm.toxicity import _LANGUAGE
 
 #: Most labelled rows that are learned from.
@@ -238,6 +239,7 @@ def quality(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
     kind = dict(docs.select(id_col).dtypes)[id_col]
     if model is None:
         return docs.selectExpr(f"`{id_col}`", "cast(1 as double) score", "cast(null as array<double>) good")
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,4 +253,6 @@ def quality(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Crf | None:
-    return train(sample(docs, labels, label, most))
+    model = train(sample(docs, labels, label, most))
+    give_back()
+    return model

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BROADCAST_KEYS, Workspace
+from tickloom.llm.common import BROADCAST_KEYS, Workspace, bounded_batches
 
 MIN_WORDS = 25
 #: Texts in one Arrow batch that goes back.
@@ -86,6 +86,7 @@ def _cutter(least: int):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS, work: Workspace | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text (what stays), removed (spans of the original), n_removed (code points)."""
     work = work or Workspace(docs.sparkSession, "substring")
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     found = work.write(texts.mapInArrow(_digester, "doc_id long, th long, digests array<long>"), "digests")
     repeated = found.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")

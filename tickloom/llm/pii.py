@@ -190,7 +190,9 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = work or Workspace(docs.sparkSession, "pii")
     found = with_entities(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
     # Every distinct entity once: its surrogate is made here, checked for collisions, and made again the same way below.
-    each = found.select(F.explode("_found").alias("entity")).distinct().withColumn("kind", kind_of(F.col("entity")))
+    # They are dealt out anew, as few bytes hold much work and would be put together in few tasks.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = found.select(F.explode("_found").alias("entity")).distinct().repartition(parts).withColumn("kind", kind_of(F.col("entity")))
     each = work.write(each.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key)), "entities")
     clash = each.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if clash:

@@ -3,8 +3,9 @@
 Units are lines, and within a line the stretches that end in . ! or ? before white space or stand before a capital:
 passages that were pasted into the middle of a line would otherwise share no unit with their other occurrences.
 Units are normalised (A-Z lower-cased, white space to one blank) and digested; digests are grouped over all documents,
-and the occurrence with the smallest (id, text hash, place) stays. Of the others, runs of neighbouring units with
-MIN_WORDS words or more together are cut out, so common short sentences stay. Spans are offsets in the original text.
+and the occurrence with the smallest (id, text hash, place) stays. Of the others, whole lines are cut out whatever their
+length; lines count against lines only. Of units that stand in other lines, runs of neighbouring ones with MIN_WORDS words
+or more together are cut out, so common short sentences within longer lines stay. Spans are offsets in the original text.
 
 Defined results: null ids come first in the ranking; null texts stay null and have no units; rows that repeat both id
 and text are one document and get the same result. An empty table gives no rows. Other columns are not looked at.
@@ -26,6 +27,8 @@ from tickloom.llm.common import BROADCAST_KEYS, Workspace, bounded_batches
 MIN_WORDS = 25
 #: Texts in one Arrow batch that goes back.
 SLICE = 512
+#: Sets digests of whole lines apart from those of units.
+LINE = 0x5DEECE66D
 _BREAK = regex.compile(r"\n+|(?<=[.!?])[^\S\n]+|[^\S\n]+(?=\p{Lu})")
 
 
@@ -42,25 +45,59 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def removed(found: list[tuple[int, int, int, int]], marked: set[int], least: int) -> list[tuple[int, int]]:
-    """Spans of runs of marked units with enough words."""
-    spans, run = [], []
+def lines(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(digest, first unit, unit behind the last) of the lines of a text that have words."""
+    out, first = [], 0
+    for i in range(1, len(found) + 1):
+        if i < len(found) and "\n" not in text[found[i - 1][3] : found[i][2]]:
+            continue
+        digest = found[first][0]
+        if i - first > 1:
+            whole = xxhash.xxh3_64_intdigest(b" ".join(text[found[first][2] : found[i - 1][3]].encode("utf-8", "surrogatepass").lower().split()))
+            digest = whole - (1 << 64) if whole >> 63 else whole
+        out.append((digest ^ LINE, first, i))
+        first = i
+    return out
+
+
+def digests(text: str) -> list[int]:
+    """Of the units, then of the lines."""
+    found = units(text)
+    return [u[0] for u in found] + [x[0] for x in lines(text, found)]
+
+
+def removed(found: list[tuple[int, int, int, int]], marked: set[int], least: int, whole: set[int] = frozenset()) -> list[tuple[int, int]]:
+    """Spans of runs of marked units with enough words, and of the units of whole lines."""
+    cut, run = set(whole), []
     for i in range(len(found) + 1):
         if i < len(found) and i in marked:
-            run.append(found[i])
+            run.append(i)
             continue
-        if run and sum(u[1] for u in run) >= least:
-            spans.append((run[0][2], run[-1][3]))
+        if run and sum(found[k][1] for k in run) >= least:
+            cut.update(run)
         run = []
+    spans = []
+    for i in sorted(cut):
+        if i - 1 in cut:
+            spans[-1] = (spans[-1][0], found[i][3])
+        else:
+            spans.append((found[i][2], found[i][3]))
     return spans
 
 
+def cut_of(text: str, marks: set[int], least: int) -> list[tuple[int, int]]:
+    """Spans to remove, by the places of marked digests."""
+    found = units(text)
+    whole = {i for k, (_, a, z) in enumerate(lines(text, found), len(found)) if k in marks for i in range(a, z)}
+    return removed(found, {i for i in marks if i < len(found)}, least, whole)
+
+
 def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, SLICE):
             part = b.slice(at, SLICE)
-            digests = [[u[0] for u in units(t)] if t else [] for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.list_(pa.int64()))], names=["doc_id", "th", "digests"])
+            found = [digests(t) if t else [] for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "th", "digests"])
 
 
 def _cutter(least: int):
@@ -71,7 +108,7 @@ def _cutter(least: int):
                 part = b.slice(at, SLICE)
                 texts, spans = [], []
                 for text, marks in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    cut = removed(units(text), set(marks), least) if text and marks else []
+                    cut = cut_of(text, set(marks), least) if text and marks else []
                     kept, last = [], 0
                     for a, z in cut:
                         kept.append(text[last:a])

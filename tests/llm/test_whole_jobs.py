@@ -1,9 +1,12 @@
 """What operators left out of the whole job before."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import substring_dedup as S
+from tickloom.llm import toxicity as T
+from tickloom.llm.labelled import label_weights
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,3 +36,16 @@ def test_no_line_stays_twice(spark, docs):
         lines |= {norm(x) for x in r.text.split("\n")}
     left = [x for x in left if x and x in lines]
     assert len(left) == len(set(left)) and docs.where(F.col("text").isNotNull()).count() == len(got)
+
+
+def test_border_does_not_depend_on_how_even_the_sample_is(spark):
+    r = np.random.default_rng(3)
+    z = np.concatenate([r.normal(-1, 1, 45_000), r.normal(1, 1, 5_000)])
+    y = np.repeat([0, 1], [45_000, 5_000])
+    whole = T._threshold(z, y, 0.0)
+    even = np.concatenate([r.choice(45_000, 4_000, replace=False), 45_000 + r.choice(5_000, 4_000, replace=False)])
+    assert abs(T._threshold(z[even], y[even], 0.0, (45_000 / 4_000, 5_000 / 4_000)) - whole) < 0.2 < whole - T._threshold(z[even], y[even], 0.0)
+    labels = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    n = [known.where(F.col("toxic") == k).count() for k in (0, 1)]
+    assert label_weights(labels, "toxic", 100) == (n[0] / 50, n[1] / 50) and label_weights(labels, "toxic", 10_000) == (1.0, 1.0)

@@ -23,13 +23,23 @@ def give_back() -> None:
         pass
 
 
+def eligible(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labelled rows that may be learned from."""
+    return labels.where(~held_out() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+
+
+def label_weights(labels: DataFrame, label: str, most: int) -> tuple[float, float]:
+    """What a row of `sample` stands for, by label: how many rows of its label there are to one that is taken."""
+    n = {r.y: r["n"] for r in eligible(labels, label).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return tuple(max(1.0, n.get(y, 0) / (most // 2)) for y in (0, 1))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
     """(text, label) of at most `most` labelled rows that are not held out, half of each label where there are enough.
 
     The rows are those with the smallest hashes of their ids, so reruns learn from the same ones.
     """
-    marked = labels.where(~held_out() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    marked = marked.withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
+    marked = eligible(labels, label).withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
     chosen = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy("h", "doc_id").limit(most // 2).collect()]
     if not chosen:
         return []

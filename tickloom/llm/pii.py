@@ -3,8 +3,9 @@
 Entities are found by one pattern and replaced by keyed surrogates of the same type and format. Surrogates are
 bijections of the entity's own format, built as Feistel networks over its letters and digits: so equal entities get
 equal surrogates everywhere (coreference) and different ones stay different. Letters keep their script and case, card
-numbers their check sum, addresses their range; names come from a list of the same gender and script.
-The collision check groups the distinct surrogates of the whole table and stops the query if two entities share one.
+numbers their check sum, addresses their range and leading zeros; names come from a list of the same gender and script.
+The collision check groups the distinct surrogates of the whole table. Where entities of a kind share one, the first keeps
+it (listed names before others, then by text) and the later ones get surrogates under a further key, until all are distinct.
 
 Defined results: a null text stays null and has no entities; an entity that its bijection leaves as it is, which short
 ones may be, is counted in n_unchanged. An empty table gives no rows; extra columns are not looked at.
@@ -19,6 +20,8 @@ from tickloom.llm.common import Workspace
 
 KEY = "tickloom"
 ROUNDS = 4
+#: Further keys that are tried for entities that share a surrogate; each leaves next to none.
+TRIES = 40
 # The patterns of each type, in order of precedence.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -110,13 +113,29 @@ def _card(s: Column, salt: Column) -> Column:
     return _into(s, F.concat(after, last.cast("string")))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _ip(s: Column, salt: Column) -> Column:
-    """Feistel over the two halves of the 32-bit number."""
-    octets = F.transform(F.split(s, r"\."), lambda x: x.cast("long"))
-    start = F.struct((octets[0] * 256 + octets[1]).alias("a"), (octets[2] * 256 + octets[3]).alias("b"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda x, r: F.struct(x["b"].alias("a"), F.pmod(x["a"] + F.xxhash64(salt, r, x["b"]), F.lit(65536)).cast("long").alias("b")))
-    whole = lambda v: F.concat(F.floor(v / 256).cast("string"), F.lit("."), (v % 256).cast("string"))
-    return F.concat(whole(end["a"]), F.lit("."), whole(end["b"]))
+    """Feistel over the two halves of the 32-bit number. An octet with a leading zero, which has two digits, moves among the ten of that form."""
+
+    def octet(x: Column) -> Column:
+        led = (F.length(x) > 1) & x.startswith("0")
+        return F.struct(x.cast("long").alias("v"), F.when(led, 10).otherwise(256).cast("long").alias("size"))
+
+    def moved(o: Column) -> Column:
+        half = lambda i: [o[i]["v"] * o[i + 1]["size"] + o[i + 1]["v"], o[i]["size"] * o[i + 1]["size"]]
+        (a, m), (b, n) = half(0), half(2)
+        start = F.struct(a.alias("a"), b.alias("b"), m.alias("m"), n.alias("n"))
+        # the halves change places in each round, and their sizes with them
+        step = lambda x, r: F.struct(x["b"].alias("a"), F.pmod(x["a"] + F.xxhash64(salt, r, x["b"]), x["m"]).cast("long").alias("b"), x["n"].alias("m"), x["m"].alias("n"))
+        put = lambda v, size: F.concat(F.when(size == 10, "0").otherwise(""), v.cast("string"))
+        whole = lambda v, i: F.concat(put(F.floor(v / o[i + 1]["size"]).cast("long"), o[i]["size"]), F.lit("."), put(v % o[i + 1]["size"], o[i + 1]["size"]))
+        return _once(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), lambda end: F.concat(whole(end["a"], 0), F.lit("."), whole(end["b"], 2)))
+
+    return _once(F.transform(F.split(s, r"\."), octet), moved)
 
 
 def _hex(s: Column, salt: Column) -> Column:
@@ -185,6 +204,24 @@ def with_entities(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("_found", F.when(may, F.regexp_extract_all(F.col(text_col), F.lit(pattern()), F.lit(0))))
 
 
+def _rekeyed(each: DataFrame, key: str, work: Workspace) -> DataFrame | None:
+    """(entity, surrogate) of the entities that may not keep their surrogate as others of their kind have it; None if all are distinct."""
+    twice = lambda df: df.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select("kind", "surrogate")
+    if not twice(each).limit(1).count():
+        return None
+    listed = F.array_contains(F.array(*[F.lit(n) for ns in NAMES.values() for n in ns]), F.substring_index("entity", " ", 1))
+    each = each.withColumn("turn", F.lit(0))
+    for k in range(1, TRIES + 1):
+        clash = each.join(twice(each), ["kind", "surrogate"], "left_semi")
+        first = clash.groupBy("kind", "surrogate").agg(F.min(F.struct("turn", (~listed).alias("other"), "entity"))["entity"].alias("entity"))
+        moved = clash.join(first, ["kind", "surrogate", "entity"], "left_anti").select("entity", "kind")
+        moved = work.write(moved.select("entity", "kind", surrogate(F.col("entity"), F.col("kind"), f"{key}\0{k}").alias("surrogate"), F.lit(k).alias("turn")), f"moved{k}")
+        each = work.write(each.join(moved, ["entity", "kind"], "left_anti").unionByName(moved), f"entities{k}")
+        if not twice(each).limit(1).count():
+            return each.where("turn > 0").select("entity", "surrogate")
+    raise ValueError("two entities share a surrogate under every key")
+
+
 def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: str = KEY, work: Workspace | None = None) -> DataFrame:
     """One row per row of docs: doc_id, text with surrogates, n_entities, n_unchanged, entities (type, start in the original, length, surrogate)."""
     work = work or Workspace(docs.sparkSession, "pii")
@@ -194,12 +231,14 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = found.select(F.explode("_found").alias("entity")).distinct().repartition(parts).withColumn("kind", kind_of(F.col("entity")))
     each = work.write(each.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key)), "entities")
-    clash = each.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if clash:
-        raise ValueError("two entities share a surrogate")
+    again = _rekeyed(each, key, work)
+    told = lambda e, kind: surrogate(e, kind, key)
+    if again is not None:
+        found = found.join(F.broadcast(again.agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_again"))))
+        told = lambda e, kind: F.coalesce(F.try_element_at("_again", e), surrogate(e, kind, key))
     pieces = F.split("text", pattern(), -1)
     made = F.transform("_found", lambda e: F.struct(kind_of(e).alias("type"), e.alias("e")))
-    made = F.transform(made, lambda x: F.struct(x["type"].alias("type"), F.length(x["e"]).alias("length"), surrogate(x["e"], x["type"], key).alias("surrogate"), x["e"].alias("e")))
+    made = F.transform(made, lambda x: F.struct(x["type"].alias("type"), F.length(x["e"]).alias("length"), told(x["e"], x["type"]).alias("surrogate"), x["e"].alias("e")))
     rows = found.withColumn("made", F.when(F.size("_found") > 0, made)).withColumn("pieces", F.when(F.size("_found") > 0, pieces))
     text = F.when(F.col("made").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.zip_with("made", F.expr("slice(pieces, 1, size(made))"), lambda m, p: F.concat(p, m["surrogate"])), ""), F.element_at("pieces", -1)))
     starts = F.aggregate(

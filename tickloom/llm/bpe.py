@@ -23,15 +23,16 @@ import regex
 from pyspark.sql import DataFrame
 
 from tickloom.llm.common import bounded_batches
+from tickloom.llm.worker import Remembered, cache, lean
 
 #: Longest word, in parts, that is scanned.
 SCAN = 64
-#: Chunks in each of the two generations that a worker remembers, and the longest one; bounds memory, not the result.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 60
+#: Bytes of chunks in each of the two generations that a worker remembers, and the longest chunk; bounds memory, not the result.
+REMEMBERED, REMEMBERED_LENGTH = 24 << 20, 60
 #: Texts in one Arrow batch that goes back.
-SLICE = 512
+SLICE = 256
 NONE = 1 << 60
-#: From here on characters are classed one by one.
+#: From here on the tokenizer's own character tables decide, which are of another version than Python's.
 BEYOND = "\u0500"
 #: Bits of an id in a packed pair, and in a packed (rank, merged id).
 ID = 20
@@ -52,15 +53,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def kinds(text: str) -> str:
-    """The text with a letter, digit or sign for each character beyond ASCII, by its category: the pattern then cuts at the same places.
-
-    The pattern library knows a later version of the character tables than the tokenizer: so the category decides, and
-    what Python's tables leave unassigned counts as a sign.
-    """
-    return "".join(c if c < "\x80" else {"L": "x", "N": "0"}.get(unicodedata.category(c)[0], "#") for c in text)
-
-
 class Bpe:
     """A tokenizer file of the word-end kind: NFC, white space to one blank, lower case, pattern, byte letters, BPE."""
 
@@ -68,24 +60,26 @@ class Bpe:
         spec = json.loads(text)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = [""] * (1 + max([*self.vocab.values(), *self.added.values()]))
-        for token, i in [*self.vocab.items(), *self.added.items()]:
+        self.tokens = [""] * (1 + max([*vocab.values(), *self.added.values()]))
+        for token, i in [*vocab.items(), *self.added.items()]:
             self.tokens[i] = token
         self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a] << ID | self.vocab[b]] = rank << ID | self.vocab[a + b]
+            self.ranks[vocab[a] << ID | vocab[b]] = rank << ID | vocab[a + b]
         letters = byte_letters()
-        self.inner = [self.vocab[x] for x in letters]
-        self.last = [self.vocab[x + self.end] for x in letters]
+        self.byte = {x: b for b, x in enumerate(letters)}
+        self.inner = [vocab[x] for x in letters]
+        self.last = [vocab[x + self.end] for x in letters]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.space = regex.compile(f"[{SPACE}]+")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cutter_spec = {**spec, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}
+        self.cutter = None
+        self.known, self.older = Remembered(REMEMBERED), {}
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one word, given as its bytes."""
@@ -132,25 +126,39 @@ class Bpe:
             if part in self.added:
                 ids.append(self.added[part])
                 continue
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-            for m in self.pieces.finditer(plain if max(plain, default="") < BEYOND else kinds(plain)):
-                ids += self.word(plain[m.start() : m.end()].encode())
+            for word in self.words(part):
+                ids += self.word(word)
         return np.array(ids, np.int32).tobytes()
 
+    def words(self, part: str) -> Iterator[bytes]:
+        """Normalised words of a stretch. Those with rarer characters are cut by the library's own steps before BPE, made from the same file."""
+        if max(part, default="") < BEYOND:
+            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+            yield from (m.group().encode() for m in self.pieces.finditer(plain))
+            return
+        if self.cutter is None:
+            from tokenizers import Tokenizer
+
+            self.cutter = Tokenizer.from_str(json.dumps(self.cutter_spec))
+        for word, _ in self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(part)):
+            yield bytes(self.byte[x] for x in word)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         chunks = text.split() if not any(x in text for x in "\x1c\x1d\x1e\x1f") else self.space.split(text)
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known = self.known
+        if self.known.taken > REMEMBERED // 2:
+            self.known, self.older = Remembered(REMEMBERED), self.known
+        known, here = self.known, {}
         for c in set(chunks):
-            if c not in known:
-                known[c] = self.older.get(c) or self.chunk(c)
-        out = np.frombuffer(b"".join([known[c] for c in chunks]), np.int32)
-        for c in [c for c in set(chunks) if len(c) > REMEMBERED_LENGTH]:
-            del known[c]
-        return out
+            if (ids := known.get(c)) is None:
+                ids = self.older.get(c)
+                if ids is None:
+                    ids = self.chunk(c)
+                if len(c) <= REMEMBERED_LENGTH:
+                    known.put(c, ids, len(c) + len(ids))
+            here[c] = ids
+        return np.frombuffer(b"".join([here[c] for c in chunks]), np.int32)
 
     def decode(self, ids) -> str:
         """Without a decoder in the file the library joins the tokens with blanks."""
@@ -158,17 +166,6 @@ class Bpe:
         return " ".join([tokens[i] for i in ids])
 
 
-_LOADED: dict[int, Bpe] = {}
-
-
-def _loaded(key: int, text: str) -> Bpe:
-    """The worker's tokenizer with what it remembers, kept from task to task."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Bpe(text)
-    return _LOADED[key]
-
-
 def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: its id, the columns to keep, ids (array of int) and decoded (text; null unless asked for)."""
     spark = docs.sparkSession
@@ -180,7 +177,7 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path
     cols = [f"c{i} {kind}" for i, (_, kind) in enumerate(docs.select(*kept).dtypes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(key, held.value)
+        model: Bpe = cache("bpe", key, lambda: Bpe(held.value))
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
@@ -190,5 +187,5 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path
                 texts = pa.array([model.decode(x.tolist()) if decode else None for x in coded], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(cols)], ids, texts], names=[*(c.split(" ")[0] for c in cols), "ids", "decoded"])
 
-    coded = docs.select(*kept, text_col).mapInArrow(run, ", ".join([*cols, "ids array<int>", "decoded string"]))
+    coded = docs.select(*kept, text_col).mapInArrow(lean(run), ", ".join([*cols, "ids array<int>", "decoded string"]))
     return coded.toDF(*kept, "ids", "decoded")

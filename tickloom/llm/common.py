@@ -1,63 +1,48 @@
-"""What the operators share: written intermediate tables, checked broadcasts and connected components."""
+"""What the operators share: batches of bounded size, checked broadcasts, joins with hot classes and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most keys (8 bytes each, about 50 MB as a hashed relation) that are ever broadcast.
-BROADCAST_KEYS = 1_000_000
-#: Rows and bytes of an Arrow batch of texts.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+from tickloom.sources.workspace import Workspace, beside, keyed, small
 
+__all__ = ["Workspace", "beside", "bounded_batches", "components", "join_classes", "keyed", "semi", "small"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where it is unset, as in tests, a folder of this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        at = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+#: Rows and bytes of an Arrow batch of texts.
+ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
+#: Most keys (8 bytes each) that are ever broadcast.
+BROADCAST_KEYS = 1_000_000
+#: Members from which a class is joined by broadcast, as all its rows would meet in one task; so classes of that size are few.
+HOT = 4096
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to sizes that fit whole texts: batches live in memory outside the heap, several to a task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    """Holds Arrow batches to sizes that fit whole texts: batches live in memory outside the heap, several to a task.
 
-
-class Workspace:
-    """Intermediate tables, written once to the shared folder: later reads survive lost executors and see one fixed content.
-
-    Tables that are dropped early free their disk; the rest goes when the driver ends, as results are read lazily.
+    Results are read after the operator has returned, so the setting stays; it only ever lowers the session's.
     """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None) or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.at}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined to their classes (written, keys not null, `size` members each): hot classes by broadcast, the others by shuffle.
 
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def close(self) -> None:
-        try:
-            self.drop()
-        except Exception:  # the JVM has ended before: the cluster's own cleaning of the folder remains
-            pass
+    There are at most as many hot classes as rows / HOT; where even they are too many bytes, only larger ones count as hot.
+    """
+    if small(classes):
+        return rows.join(F.broadcast(classes), keys, how)
+    least = HOT
+    while not small(hot := classes.where(F.col(size) >= least)):
+        least *= 8
+    if not hot.limit(1).count():
+        return rows.join(classes, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.where(F.col(size) < least), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
 def semi(df: DataFrame, keys: DataFrame, key: str, *, limit: int = BROADCAST_KEYS) -> DataFrame:
@@ -79,10 +64,10 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").selectExpr("b x", "a", "m")
-        small = small.selectExpr("explode(array(struct(x as a, m as b), struct(a as a, m as b))) e").select("e.*").where("a <> b").distinct()
+        small_star = large.join(low, "a").selectExpr("b x", "a", "m")
+        small_star = small_star.selectExpr("explode(array(struct(x as a, m as b), struct(a as a, m as b))) e").select("e.*").where("a <> b").distinct()
         k += 1
-        e = work.write(small, f"{name}-{k}")
+        e = work.write(small_star, f"{name}-{k}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         work.drop(f"{name}-{k - 1}")
         if now == was:

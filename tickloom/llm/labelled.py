@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +11,10 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(True))
 
 
-def give_back() -> None:
-    """Returns the memory of a finished training to the system: the driver goes on to plan other work."""
-    gc.collect()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:  # another C library
-        pass
-
-
 def eligible(labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, y) of the labelled rows that may be learned from."""
-    return labels.where(~held_out() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    """(doc_id, y) of the documents that may be learned from; those with rows of both labels are left out."""
+    known = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("most"))
+    return known.where("y = most").select("doc_id", "y")
 
 
 def label_weights(labels: DataFrame, label: str, most: int) -> tuple[float, float]:
@@ -37,7 +26,8 @@ def label_weights(labels: DataFrame, label: str, most: int) -> tuple[float, floa
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
     """(text, label) of at most `most` labelled rows that are not held out, half of each label where there are enough.
 
-    The rows are those with the smallest hashes of their ids, so reruns learn from the same ones.
+    The rows are those with the smallest hashes of their ids, so reruns learn from the same ones; of rows that repeat an
+    id, the one with the smallest hash of its text.
     """
     marked = eligible(labels, label).withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
     chosen = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy("h", "doc_id").limit(most // 2).collect()]
@@ -45,6 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tu
         return []
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id, r.y, r.h) for r in chosen], "doc_id long, y int, h long")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", "h", "doc_id").toLocalIterator()
-    rows = sorted(((r.h, r.doc_id, r.text or "", r.y) for r in found), key=lambda r: r[:3])
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = known.groupBy("doc_id", "y", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted(((r.h, r.doc_id, r.text or "", r.y) for r in found.toLocalIterator()), key=lambda r: r[:3])
     return [r[2:] for r in rows]

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.common import bounded_batches
-from tickloom.llm.labelled import give_back, sample
+from tickloom.llm.labelled import sample
 from tickloom.llm.toxicity import _LANGUAGE
+from tickloom.llm.worker import give_back, lean
 
 #: Most labelled rows that are learned from.
 SAMPLE = 6_000
@@ -30,9 +31,9 @@ BINS, ROUNDS, STEPS, BORDER = 8, 3, 120, 0.3
 CELLS = 250_000
 MEASURES = ("chars", "words", "word length", "upper", "digits", "symbols", "pipes", "symbol runs", "exclamations", "distinct", "repeats", "function words", "same line", "stops")
 
-# Classes of the first code points; all others are letters here.
+# Classes of the code points of the first two planes; all others are letters here.
 UPPER, DIGIT, SYMBOL, PIPE, EXCLAIM, STOP, BLANK = 1, 2, 3, 4, 5, 6, 7
-_CLASS = np.zeros(0x250, np.uint8)
+_CLASS = np.zeros(0x20000, np.uint8)
 for _c in range(len(_CLASS)):
     _s = chr(_c)
     _CLASS[_c] = BLANK if _s.isspace() else UPPER if _s.isupper() else DIGIT if _s.isdigit() else PIPE if _s == "|" else EXCLAIM if _s == "!" else STOP if _s in ".,;:?" else 0 if _s.isalpha() else SYMBOL
@@ -249,7 +250,7 @@ def quality(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
                 score, good = held.value.quality([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array([g if lines else None for g in good], pa.list_(pa.float64()))], names=["id", "score", "good"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, score double, good array<double>").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(run), f"id {kind}, score double, good array<double>").withColumnRenamed("id", id_col)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Crf | None:

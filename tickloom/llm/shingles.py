@@ -7,9 +7,11 @@ from functools import cache
 import numpy as np
 import xxhash
 
-#: Words whose hash a worker remembers; bounds memory, not the result.
-REMEMBERED = 400_000
-_WORDS: dict[bytes, int] = {}
+from tickloom.llm.worker import Remembered
+from tickloom.llm.worker import cache as kept
+
+#: Bytes of words whose hashes a worker remembers; bounds memory, not the result.
+REMEMBERED = 24 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,13 +29,15 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes know ASCII case and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
-    known = _WORDS
-    if len(known) > REMEMBERED:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([known[w] for w in words], np.uint64)
+    known: Remembered = kept("shingles", 0, lambda: Remembered(REMEMBERED))
+    here = {}
+    for w in set(words):
+        h = known.get(w)
+        if h is None:
+            h = xxhash.xxh3_64_intdigest(w)
+            known.put(w, h, len(w) + 32)
+        here[w] = h
+    h = np.array([here[w] for w in words], np.uint64)
     if len(h) < width:
         h = np.concatenate([h, np.full(width - len(h), len(h), np.uint64)])
         tail = 0x5DEECE66D

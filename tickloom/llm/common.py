@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.workspace import Workspace, beside, keyed, small
 
-__all__ = ["Workspace", "beside", "bounded_batches", "components", "join_classes", "keyed", "semi", "small"]
+__all__ = ["Workspace", "beside", "bounded_batches", "components", "hashed", "join_classes", "keyed", "small"]
 
 #: Rows and bytes of an Arrow batch of texts.
 ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
-#: Most keys (8 bytes each) that are ever broadcast.
-BROADCAST_KEYS = 1_000_000
 #: Members from which a class is joined by broadcast, as all its rows would meet in one task; so classes of that size are few.
 HOT = 4096
 
@@ -29,28 +27,25 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the data: built into hash tables by shuffle at every size, so the other side isn't sorted."""
+    return df.hint("shuffle_hash")
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
     """rows joined to their classes (written, keys not null, `size` members each): hot classes by broadcast, the others by shuffle.
 
     There are at most as many hot classes as rows / HOT; where even they are too many bytes, only larger ones count as hot.
     """
-    if small(classes):
-        return rows.join(F.broadcast(classes), keys, how)
     least = HOT
     while not small(hot := classes.where(F.col(size) >= least)):
         least *= 8
     if not hot.limit(1).count():
-        return rows.join(classes, keys, how)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes.where(F.col(size) < least), keys, how)
+        return rows.join(hashed(classes), keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(hashed(classes.where(F.col(size) < least)), keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
-def semi(df: DataFrame, keys: DataFrame, key: str, *, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of df whose key stands in keys (one written column of longs named key): by broadcast if they are few enough, by shuffle beyond."""
-    few = keys.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
-
-
 def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(v, comp) for the vertices of edges (a, b: longs, not null): comp is the smallest vertex that can be reached.
 

@@ -3,11 +3,14 @@
 1. Each partition takes a 48-bit fingerprint of every normalised text, sorts the distinct ones, and sends to the owner
    of each fingerprint range one Golomb-coded list, with a bit for those that it holds more than once itself.
 2. An owner decodes the lists of its range and answers each partition with a bitmap of the places that others hold too.
+   The bitmaps, a bit a text, come back to the rows by broadcast as long as they are small.
 3. Only texts under marked fingerprints (the suspects) are read again and shuffled; grouping by fingerprint and whole
-   normalised text compares their bytes. Copies combine before that shuffle, so a hot text is one row a task.
+   normalised text compares their bytes. Copies combine before that shuffle, so a hot text is one row a task. All other
+   rows are done without being moved.
 
 Defined results: a null text counts as empty, and all empty texts form one group; a null id sorts after all others;
-of rows that tie in length and id, exactly one stays. An empty table gives no rows. Other columns are not looked at.
+of rows that tie in length and id, the first of its file stays, and one row stays whatever else they hold. An empty table
+gives no rows. Other columns are not looked at and may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BROADCAST_KEYS, Workspace, semi
+from tickloom.llm.common import Workspace, beside, join_classes, keyed
+from tickloom.llm.worker import lean
 
 #: Fingerprint bits. A chance agreement only makes one more suspect, which the byte comparison clears.
 FP_BITS = 48
@@ -61,7 +65,7 @@ def _sender(owners: int, schema: pa.Schema):
         first = np.searchsorted(owner, np.arange(owners + 1))
         rows = len(fp)
         cols = {n: table[n].combine_chunks() for n in table.column_names}
-        cols |= {"kind": np.zeros(rows, np.int32), "src": np.full(rows, src), "owner": owner[place], "pos": place - first[owner[place]], "uid": (np.int64(src) << 20) + np.arange(rows)}
+        cols |= {"kind": np.zeros(rows, np.int32), "src": np.full(rows, src), "owner": owner[place], "pos": place - first[owner[place]]}
         full = [o for o in range(owners) if first[o] < first[o + 1]]
         sent: dict[str, list] = {"kind": [1] * len(full), "src": [src] * len(full), "owner": full, "pos": [], "k": [], "blob": [], "several": []}
         for o in full:
@@ -110,62 +114,57 @@ def _owner(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "owner": pa.array(table["owner"].to_pylist()[: len(src)], pa.int32()), "words": pa.array(words, pa.list_(pa.int64()))})
 
 
-def _normalised(text: str):
-    return F.translate(F.coalesce(F.col(text), F.lit("")), SPACE, "")
+def _normalised(text):
+    return F.translate(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, work: Workspace | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_points (code points of the original)."""
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "exact_dedup")
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    norm = _normalised(text_col)
+ROW = "kind int, src long, owner int, pos int, kf long, kr long, doc_id long, n long, fp long, sha binary, k int, blob binary, several binary"
+SENT = pa.schema([("kind", pa.int32()), ("src", pa.int64()), ("owner", pa.int32()), ("pos", pa.int32()), ("kf", pa.int64()), ("kr", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary()), ("k", pa.int32()), ("blob", pa.binary()), ("several", pa.binary())])
+
+
+def _judged(work: Workspace, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(kf, kr, doc_id, n, sha, keep_id, group_size, kept) for each row of keyed docs."""
+    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.col("row")[text_col]
+    norm = _normalised(text)
     fp = F.shiftrightunsigned(F.xxhash64(norm), 64 - FP_BITS)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"), fp.alias("fp"), F.unhex(F.sha2(norm, 256)).alias("sha"))
-    schema = pa.schema([("kind", pa.int32()), ("src", pa.int64()), ("owner", pa.int32()), ("pos", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary()), ("k", pa.int32()), ("blob", pa.binary()), ("several", pa.binary())])
-    sent = work.write(rows.mapInArrow(_sender(owners, schema), "kind int, src long, owner int, pos int, uid long, doc_id long, n long, fp long, sha binary, k int, blob binary, several binary"), "sent")
+    rows = docs.select("kf", "kr", F.col("row")[id_col].cast("long").alias("doc_id"), F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("n"), fp.alias("fp"), F.unhex(F.sha2(norm, 256)).alias("sha"))
+    sent = work.write(rows.mapInArrow(lean(_sender(owners, SENT)), ROW), "sent")
 
     bitmaps = sent.where("kind = 1").select("src", "owner", "pos", "k", "blob", "several").groupBy("owner").applyInArrow(_owner, "src long, owner int, words array<long>")
-    held = sent.where("kind = 0").select("src", "owner", "pos", "uid", "doc_id", "n", "fp", "sha")
-    marked = held.join(bitmaps, ["src", "owner"], "left").select("uid", "doc_id", "n", "fp", "sha", F.expr("coalesce(bit_get(words[pos div 64], cast(pos % 64 as int)), 0) = 1").alias("suspect"))
+    bitmaps = work.write(bitmaps, "bitmaps")
+    held = sent.where("kind = 0").select("src", "owner", "pos", "kf", "kr", "doc_id", "n", "fp", "sha")
+    marked = held.join(beside(bitmaps), ["src", "owner"], "left").select("kf", "kr", "doc_id", "n", "fp", "sha", F.expr("coalesce(bit_get(words[pos div 64], cast(pos % 64 as int)), 0) = 1").alias("suspect"))
     marked = work.write(marked, "marked")
+    work.drop("sent")
 
     keys = work.write(marked.where("suspect").select("fp").distinct(), "keys")
-    texts = semi(docs.select(fp.alias("fp"), norm.alias("norm")), keys, "fp").groupBy("fp", "norm").agg(F.count("*").alias("copies"))
+    texts = docs.select(fp.alias("fp"), norm.alias("norm")).join(beside(keys), "fp", "left_semi").groupBy("fp", "norm").agg(F.count("*").alias("copies"))
     verified = texts.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "copies").groupBy("fp", "sha").agg(F.count("*").alias("texts"), F.sum("copies").alias("copies"))
     verified = verified.select("fp", "sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share fingerprint and SHA-256"))).otherwise(F.col("copies")).cast("long").alias("group_size"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("best")
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "kr", "kf")).alias("best")
     classes = marked.where("suspect").groupBy("fp", "sha").agg(best).join(verified, ["fp", "sha"])
-    classes = work.write(classes.where("group_size > 1").select("fp", "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "group_size"), "classes")
-    out = marked.join(classes, ["fp", "sha"], "left")
-    return out.select(
-        "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("keep_uid") == F.col("uid"), F.lit(True)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-        F.col("n").alias("n_points"),
-    )
+    classes = work.write(classes.where("group_size > 1").select("fp", "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.kf").alias("keep_kf"), F.col("best.kr").alias("keep_kr"), "group_size"), "classes")
+
+    several = F.col("group_size").isNotNull()
+    suspects = join_classes(marked.where("suspect"), classes, ["fp", "sha"], "group_size", "left").select(
+        "kf", "kr", "doc_id", "n", "sha", F.when(several, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce((F.col("keep_kf") == F.col("kf")) & (F.col("keep_kr") == F.col("kr")), F.lit(True)).alias("kept"),
+    )
+    alone = marked.where("not suspect").select("kf", "kr", "doc_id", "n", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return alone.unionByName(suspects)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, work: Workspace | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_points (code points of the original)."""
+    work = work or Workspace(docs.sparkSession, "exact_dedup")
+    found = _judged(work, keyed(work, docs), id_col, text_col)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), F.col("n").alias("n_points"))
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "keep_exact")
-    found = exact_dedup(docs, id_col, text_col, work=work)
-    here = F.xxhash64(F.col(id_col), F.sha2(_normalised(text_col), 256), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
-    keyed = F.xxhash64("doc_id", "text_sha256", "n_points")
-    # Rows that agree in id, length and text can't be told apart by a join: of those, the kept one is picked by hand.
-    judged = found.select(keyed.alias("key"), "doc_id", "kept").groupBy("doc_id", "key").agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
-    judged = work.write(judged.where("not stays or rows > 1"), "judged")
-    few = judged.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    if not judged.where("stays").limit(1).count():
-        gone = judged.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"))
-        gone = F.broadcast(gone) if few else gone
-        return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (here == F.col("_gone_key")), "left_anti")
-    side = judged.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("stays").alias("_stays"))
-    side = F.broadcast(side) if few else side
-    both = docs.join(side, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (here == F.col("_gone_key")), "left")
-    single = both.where("_gone_id is null and _gone_key is null").select(*[both[c] for c in docs.columns])
-    twins = both.where("_stays").dropDuplicates(["_gone_id", "_gone_key"]).select(*[F.col(c) for c in docs.columns])
-    return single.union(twins)
+    work = Workspace(docs.sparkSession, "keep_exact")
+    rows = keyed(work, docs)
+    gone = work.write(_judged(work, rows, id_col, text_col).where("not kept").select("kf", "kr"), "gone")
+    return rows.join(beside(gone), ["kf", "kr"], "left_anti").select("row.*")

@@ -7,8 +7,9 @@ order of size, which leaves at most about one document's words a source; two pas
 documents whose size is nearest to what is left.
 
 Defined results: a null text has no words; null sources are one source, the last; sources without words have target 0;
-null ids come first in the order of documents; rows that repeat id, source and size are counted one by one in mixed()
-and are copies of one document in mix(). An empty table gives no rows. Ordering needs no randomness, so reruns agree.
+null ids come first in the order of documents; rows that repeat an id are documents of their own, ordered by a hash of
+their texts, and each is taken CAP times at most. An empty table gives no rows. Other columns are not looked at and may
+have any names. Ordering needs no randomness, so reruns agree; only rows equal in id, source and text may change places.
 """
 
 from __future__ import annotations
@@ -17,20 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BROADCAST_KEYS, Workspace
+from tickloom.llm.common import Workspace, beside, keyed
 
 #: Most copies of a document.
 CAP = 3
-#: Documents of one source and one size that are ordered in one task; larger cells are split by id.
+#: Documents of one source and one size that are ordered in one task; larger cells are split by a hash of id and text.
 CELL = 50_000
 #: Newton's stopping rule: relative error of every token constraint.
 TOLERANCE = 1e-12
 PASSES = 2
 
 
-def words(text: str):
+def words(text):
     """Number of runs without ASCII white space."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -56,9 +57,7 @@ def _newton(work: Workspace, cells: DataFrame, goal: DataFrame, most: int = 200)
     state = work.write(goal.select("source", "target", F.lit(0.0).alias("lam")), "dual-0")
     rate = F.when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(float(CAP)), F.exp("lam")))
     for k in range(1, most):
-        few = state.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        here = state.withColumnRenamed("source", "s")
-        tilted = cells.join(F.broadcast(here) if few else here, F.col("source").eqNullSafe(F.col("s")))
+        tilted = cells.join(beside(state.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
         mass = F.sum(F.col("n") * F.col("size") * F.exp("lam"))  # gradient: target - mass; curvature: mass
         state = tilted.groupBy("source", "target", "lam").agg(mass.alias("mass"))
         error = F.when(F.col("target") > 0, F.abs(F.col("target") - F.col("mass")) / F.col("target")).otherwise(0.0)
@@ -72,57 +71,55 @@ def _newton(work: Workspace, cells: DataFrame, goal: DataFrame, most: int = 200)
     raise ArithmeticError(f"the dual did not converge: {worst}")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, work: Workspace | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, copies, source."""
-    work = work or Workspace(docs.sparkSession, "mixing")
-    rows = work.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size")), "rows")
+def _planned(work: Workspace, docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(kf, kr, doc_id, source, size, source_size, target, copies) for each row of keyed docs."""
+    text = F.col("row")[text_col]
+    rows = work.write(docs.select("kf", "kr", F.col("row")[id_col].alias("doc_id"), F.col("row")[source_col].alias("source"), words(text).alias("size"), F.xxhash64(text).alias("th")), "rows")
     counts = work.write(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     goal = work.write(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))), "goal")
     rates = _newton(work, counts, goal)
-    plan = goal.join(rates, goal.source.eqNullSafe(rates.source)).select(goal.source.alias("s"), "source_size", "target", "rate")
+    plan = work.write(goal.join(rates, goal.source.eqNullSafe(rates.source)).select(goal.source.alias("s"), "source_size", "target", "rate"), "plan")
 
     # Places in the order (size, part, id) of each source: cells first, then rows within a cell of bounded size.
-    parts = counts.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.ceil(F.col("n") / CELL).alias("parts"))
-    few = counts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    large = parts.where("parts > 1")
-    placed = rows.join(F.broadcast(large) if few else large, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left")
-    placed = placed.select("doc_id", "source", "size", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.col("parts")), F.lit(0)).alias("part"))
-    inner = counts.join(large, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left_anti").withColumn("part", F.lit(0).cast("long"))
-    split = placed.join(F.broadcast(large) if few else large, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left_semi").groupBy("source", "size", "part").agg(F.count("*").alias("n"))
-    cells = inner.select("source", "size", "part", "n").union(split.select("source", "size", "part", "n"))
+    large = work.write(counts.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.ceil(F.col("n") / CELL).alias("parts")).where("parts > 1"), "large")
+    here = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))
+    placed = rows.join(beside(large), here, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "th"), F.col("parts")), F.lit(0))).drop("c_source", "c_size", "parts")
+    whole = counts.join(beside(large), here, "left_anti").select("source", "size", F.lit(0).cast("long").alias("part"), "n")
+    split = placed.join(beside(large), here, "left_semi").groupBy("source", "size", "part").agg(F.count("*").alias("n"))
+    cells = whole.unionByName(split)
     starts = cells.withColumn("start", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("size", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    known = starts.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("part").alias("k_part"), "start", "source_size", "target", "rate")
-    known = work.write(known, "known")
-    known = F.broadcast(known) if few else known
-    at = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("doc_id"))
+    known = starts.join(beside(plan), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("part").alias("k_part"), "start", "source_size", "target", "rate")
+    known = beside(work.write(known, "known"))
+    at = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("doc_id", "th", "kr", "kf"))
     joined = placed.withColumn("at", at).join(known, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size")) & (F.col("part") == F.col("k_part")))
     end = F.col("start") + F.col("at")
     copies = F.floor(end * F.col("rate") + 0.5) - F.floor((end - 1) * F.col("rate") + 0.5)
-    out = work.write(joined.select("doc_id", "source", "size", "source_size", "target", end.alias("place"), copies.cast("long").alias("copies")), "copies-0")
+    cols = ["kf", "kr", "doc_id", "source", "size", "source_size", "target"]
+    out = work.write(joined.select(*cols, end.alias("place"), copies.cast("long").alias("copies")), "copies-0")
 
     for k in range(PASSES):
         got = out.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("got")).select(F.col("source").alias("s"), (F.col("target") - F.col("got")).alias("left"))
-        got = work.write(got, f"left-{k}")
-        small = got.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        at_hand = out.join(F.broadcast(got) if small else got, F.col("source").eqNullSafe(F.col("s")))
+        at_hand = out.join(beside(work.write(got, f"left-{k}")), F.col("source").eqNullSafe(F.col("s")))
         may = (F.col("size") > 0) & F.when(F.col("left") > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0) & (F.abs(F.abs("left") - F.col("size")) < F.abs("left"))
         nearest = at_hand.where(may).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("left") - F.col("size")).alias("off"), "size", "place")).alias("x"), F.min(F.signum("left")).cast("long").alias("move"))
         nearest = work.write(nearest.select(F.col("source").alias("s"), F.col("x.place").alias("p"), "move"), f"move-{k}")
-        moved = out.join(F.broadcast(nearest) if small else nearest, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")), "left")
-        out = work.write(moved.select("doc_id", "source", "size", "source_size", "target", "place", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies")), f"copies-{k + 1}")
+        moved = out.join(beside(nearest), F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")), "left")
+        out = work.write(moved.select(*cols, "place", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies")), f"copies-{k + 1}")
         work.drop(f"copies-{k}")
+    return out
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, work: Workspace | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, copies, source."""
+    work = work or Workspace(docs.sparkSession, "mixing")
+    out = _planned(work, keyed(work, docs), id_col, text_col, source_col)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
     work = Workspace(docs.sparkSession, "mix")
-    found = mixed(docs, id_col, text_col, source_col, work=work)
-    plan = found.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    plan = work.write(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows")).where("_copies > 0"), "plan")
-    few = plan.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (words(text_col) == F.col("_size"))
-    both = docs.join(F.broadcast(plan) if few else plan, same)
-    if plan.where("_rows > 1").limit(1).count():
-        both = both.where("_rows = 1").union(both.where("_rows > 1").dropDuplicates(["_id", "_source", "_size"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    rows = keyed(work, docs)
+    plan = work.write(_planned(work, rows, id_col, text_col, source_col).where("copies > 0").select("kf", "kr", "copies"), "taken")
+    both = rows.join(beside(plan), ["kf", "kr"])
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

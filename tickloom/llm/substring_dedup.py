@@ -2,13 +2,14 @@
 
 Units are lines, and within a line the stretches that end in . ! or ? before white space or stand before a capital:
 passages that were pasted into the middle of a line would otherwise share no unit with their other occurrences.
-Units are normalised (A-Z lower-cased, white space to one blank) and digested; digests are grouped over all documents,
-and the occurrence with the smallest (id, text hash, place) stays. Of the others, whole lines are cut out whatever their
+Units are normalised (A-Z lower-cased, white space to one blank) and digested to 128 bits. The first 64 bits of all
+documents' units are counted; those that stand more than once are grouped by all 128, and the occurrence with the smallest (id, text hash, place) stays. Of the others, whole lines are cut out whatever their
 length; lines count against lines only. Of units that stand in other lines, runs of neighbouring ones with MIN_WORDS words
 or more together are cut out, so common short sentences within longer lines stay. Spans are offsets in the original text.
 
 Defined results: null ids come first in the ranking; null texts stay null and have no units; rows that repeat both id
-and text are one document and get the same result. An empty table gives no rows. Other columns are not looked at.
+and text are one document and get the same result. An empty table gives no rows. Other columns are not looked at and may
+have any names. min_words=1 cuts every repeated piece, whatever its length.
 """
 
 from __future__ import annotations
@@ -22,40 +23,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import BROADCAST_KEYS, Workspace, bounded_batches
+from tickloom.llm.common import Workspace, bounded_batches, hashed, join_classes
+from tickloom.llm.worker import lean
 
 MIN_WORDS = 25
 #: Texts in one Arrow batch that goes back.
-SLICE = 512
+SLICE = 128
 #: Sets digests of whole lines apart from those of units.
 LINE = 0x5DEECE66D
+HALF = (1 << 64) - 1
 _BREAK = regex.compile(r"\n+|(?<=[.!?])[^\S\n]+|[^\S\n]+(?=\p{Lu})")
 
 
+def digest(words: list[bytes]) -> int:
+    return xxhash.xxh3_128_intdigest(b" ".join(words))
+
+
 def units(text: str) -> list[tuple[int, int, int, int]]:
     """(digest, words, start, end) of the units of a text that have words."""
     out, start = [], 0
-    cuts = [m.span() for m in _BREAK.finditer(text)]
-    for end, after in [*cuts, (len(text), len(text))]:
-        words = text[start:end].encode("utf-8", "surrogatepass").lower().split()
-        if words:
-            digest = xxhash.xxh3_64_intdigest(b" ".join(words))
-            out.append((digest - (1 << 64) if digest >> 63 else digest, len(words), start, end))
-        start = after
+    for m in _BREAK.finditer(text):
+        _unit(text, start, m.start(), out)
+        start = m.end()
+    _unit(text, start, len(text), out)
     return out
 
 
+def _unit(text: str, start: int, end: int, out: list) -> None:
+    if words := text[start:end].encode("utf-8", "surrogatepass").lower().split():
+        out.append((digest(words), len(words), start, end))
+
+
 def lines(text: str, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
     """(digest, first unit, unit behind the last) of the lines of a text that have words."""
     out, first = [], 0
     for i in range(1, len(found) + 1):
         if i < len(found) and "\n" not in text[found[i - 1][3] : found[i][2]]:
             continue
-        digest = found[first][0]
-        if i - first > 1:
-            whole = xxhash.xxh3_64_intdigest(b" ".join(text[found[first][2] : found[i - 1][3]].encode("utf-8", "surrogatepass").lower().split()))
-            digest = whole - (1 << 64) if whole >> 63 else whole
-        out.append((digest ^ LINE, first, i))
+        whole = found[first][0] if i - first == 1 else digest(text[found[first][2] : found[i - 1][3]].encode("utf-8", "surrogatepass").lower().split())
+        out.append((whole ^ LINE, first, i))
         first = i
     return out
 
@@ -97,7 +103,8 @@ def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, SLICE):
             part = b.slice(at, SLICE)
             found = [digests(t) if t else [] for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "th", "digests"])
+            halves = [pa.array([np.array([d >> shift & HALF for d in ds], np.uint64).view(np.int64) for ds in found], pa.list_(pa.int64())) for shift in (64, 0)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *halves], names=["doc_id", "th", "d1", "d2"])
 
 
 def _cutter(least: int):
@@ -125,17 +132,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = work or Workspace(docs.sparkSession, "substring")
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = work.write(texts.mapInArrow(_digester, "doc_id long, th long, digests array<long>"), "digests")
-    repeated = found.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
+    found = work.write(texts.mapInArrow(lean(_digester), "doc_id long, th long, d1 array<long>, d2 array<long>"), "digests")
+    repeated = found.select(F.explode("d1").alias("d1")).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
     repeated = work.write(repeated, "repeated")
-    few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    places = found.select("doc_id", "th", F.posexplode("digests").alias("at", "d"))
-    places = work.write(places.join(F.broadcast(repeated) if few else repeated, "d", "left_semi"), "places")
-    first = places.groupBy("d").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"))
-    marks = places.join(first, "d").where("struct(doc_id, th, at) <> first").groupBy("doc_id", "th").agg(F.collect_set("at").alias("marks"))
-    marks = work.write(marks.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), "marks"), "marks")
-    units_marked = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()
-    small = units_marked[0] + units_marked[1] <= BROADCAST_KEYS
-    both = texts.join(F.broadcast(marks) if small else marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
-    cut = both.select("doc_id", "text", "marks").mapInArrow(_cutter(min_words), "doc_id long, text string, removed array<struct<start int, end int>>")
+    places = found.select("doc_id", "th", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d")).select("doc_id", "th", "at", "d.d1", "d.d2")
+    places = work.write(places.join(hashed(repeated), "d1", "left_semi"), "places")
+    work.drop("digests")
+    first = places.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = work.write(first.select("d1", "d2", "n", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"), F.col("first.at").alias("f_at")), "first")
+    again = ~(F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("at") == F.col("f_at")))
+    marks = join_classes(places, first, ["d1", "d2"], "n").where(again).groupBy("doc_id", "th").agg(F.collect_set("at").alias("marks"))
+    marks = hashed(work.write(marks.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), "marks"), "marks"))
+    work.drop("places")
+    both = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")), "left")
+    cut = both.select("doc_id", "text", "marks").mapInArrow(lean(_cutter(min_words)), "doc_id long, text string, removed array<struct<start int, end int>>")
     return cut.withColumn("n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))

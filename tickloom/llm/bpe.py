@@ -15,6 +15,7 @@ import heapq
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from tickloom.llm.worker import Remembered, cache, lean
 
 #: Longest word, in parts, that is scanned.
 SCAN = 64
-#: Bytes of chunks in each of the two generations that a worker remembers, and the longest chunk; bounds memory, not the result.
-REMEMBERED, REMEMBERED_LENGTH = 24 << 20, 60
+#: Bytes of chunks, and of words, in each of the two generations that a worker remembers, and the longest one; bounds memory, not the result.
+REMEMBERED, REMEMBERED_LENGTH = 16 << 20, 60
 #: Texts in one Arrow batch that goes back.
 SLICE = 256
 NONE = 1 << 60
@@ -53,6 +54,25 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memory:
+    """Ids by text, as int32 bytes: the generation that fills, and the one before it."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.older = most, Remembered(2 * most), {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.known.get(key)
+        if found is None and (found := self.older.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, ids: bytes) -> None:
+        if self.known.taken > self.most:
+            self.known, self.older = Remembered(2 * self.most), self.known
+        if len(key) <= REMEMBERED_LENGTH:
+            self.known.put(key, ids, len(key) + len(ids))
+
+
 class Bpe:
     """A tokenizer file of the word-end kind: NFC, white space to one blank, lower case, pattern, byte letters, BPE."""
 
@@ -76,10 +96,11 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.marks = list(self.added)
         self.space = regex.compile(f"[{SPACE}]+")
         self.cutter_spec = {**spec, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}
         self.cutter = None
-        self.known, self.older = Remembered(REMEMBERED), {}
+        self.chunks, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one word, given as its bytes."""
@@ -119,46 +140,45 @@ class Bpe:
                     heapq.heappush(queue, (f, x, parts[x], parts[y]))
         return [p for p, live in zip(parts, alive, strict=True) if live]
 
+    def part(self, word: str | bytes) -> bytes:
+        """Ids of a normalised word, as int32 bytes."""
+        if (ids := self.parts.get(word)) is None:
+            ids = array("i", self.word(word.encode() if isinstance(word, str) else word)).tobytes()
+            self.parts.put(word, ids)
+        return ids
+
     def chunk(self, chunk: str) -> bytes:
         """Ids, as int32 bytes, of a stretch of text without white space."""
-        ids: list[int] = []
-        for part in self.special.split(chunk) if self.special else [chunk]:
-            if part in self.added:
-                ids.append(self.added[part])
-                continue
-            for word in self.words(part):
-                ids += self.word(word)
-        return np.array(ids, np.int32).tobytes()
+        if self.marks and any(x in chunk for x in self.marks):
+            return b"".join([array("i", [self.added[x]]).tobytes() if x in self.added else b"".join(map(self.part, self.words(x))) for x in self.special.split(chunk)])
+        return b"".join(map(self.part, self.words(chunk)))
 
-    def words(self, part: str) -> Iterator[bytes]:
+    def words(self, part: str) -> list:
         """Normalised words of a stretch. Those with rarer characters are cut by the library's own steps before BPE, made from the same file."""
-        if max(part, default="") < BEYOND:
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-            yield from (m.group().encode() for m in self.pieces.finditer(plain))
-            return
+        if part.isascii():
+            return self.pieces.findall(part.lower())
+        if max(part) < BEYOND:
+            return self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())  # letter by letter: no final sigma
         if self.cutter is None:
             from tokenizers import Tokenizer
 
             self.cutter = Tokenizer.from_str(json.dumps(self.cutter_spec))
-        for word, _ in self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(part)):
-            yield bytes(self.byte[x] for x in word)
+        return [bytes([self.byte[x] for x in word]) for word, _ in self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(part))]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         chunks = text.split() if not any(x in text for x in "\x1c\x1d\x1e\x1f") else self.space.split(text)
-        if self.known.taken > REMEMBERED // 2:
-            self.known, self.older = Remembered(REMEMBERED), self.known
-        known, here = self.known, {}
-        for c in set(chunks):
-            if (ids := known.get(c)) is None:
-                ids = self.older.get(c)
-                if ids is None:
+        found = list(map(self.chunks.known.get, chunks))
+        if None in found:
+            new = {c: None for c, f in zip(chunks, found, strict=True) if f is None}
+            for c in new:
+                if (ids := self.chunks.get(c)) is None:
                     ids = self.chunk(c)
-                if len(c) <= REMEMBERED_LENGTH:
-                    known.put(c, ids, len(c) + len(ids))
-            here[c] = ids
-        return np.frombuffer(b"".join([here[c] for c in chunks]), np.int32)
+                    self.chunks.put(c, ids)
+                new[c] = ids
+            found = [new[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids) -> str:
         """Without a decoder in the file the library joins the tokens with blanks."""

@@ -33,9 +33,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids; copies of a document stay rows of their own."""
-    coded = bpe(docs, keep=("source",), decode=False)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, source, n_tokens, ids, and the digest of what they decode to; copies of a document stay rows of their own."""
+    coded = bpe(docs, keep=("source",))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

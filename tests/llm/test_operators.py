@@ -171,7 +171,7 @@ def coders():
     return B.Bpe(open(B.default_path(), encoding="utf-8").read()), Tokenizer.from_file(B.default_path())
 
 
-@given(st.text(st.one_of(st.characters(codec="utf-8", exclude_categories=["Cn", "Co"]), st.sampled_from("aBé 'll's<|endoftext|>\n\x1c ßΣ9²")), max_size=80))
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aBé 'll's<|endoftext|>\n\x1c ßΣ9²")), max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_bpe_equals_the_library(coders, text):
     mine, ref = coders
@@ -213,7 +213,7 @@ def test_classifier_on_held_out_rows(spark, module, label, least):
     y, z, border = scored[label].to_numpy(), scored.score.to_numpy(), 0.5 if module is T else Q.BORDER
     assert auc(z, y) > least
     said = z >= border
-    assert (said & (y == 1)).sum() / (y == 1).sum() > 0.8 and (said & (y == 0)).sum() / (y == 0).sum() < 0.1
+    assert (said & (y == 1)).sum() / (y == 1).sum() > 0.9 and (said & (y == 0)).sum() / (y == 0).sum() < 0.04
 
 
 def test_samples_leave_out_held_out_rows(spark):

@@ -46,9 +46,9 @@ ENDINGS = {"en": ("", "s", "er", "ing", "online", "site"), "de": ("", "n", "en",
 
 
 def vocabulary() -> dict[str, int]:
-    """Term to weight: inflected stems, wares and lures alone as soft ones, and a lure joined to a ware as a strict one."""
+    """Term to weight: inflected stems (strict ones without the plural s, so that a stem's own boundaries count), wares and lures alone as soft ones, and a lure joined to a ware as a strict one."""
     soft = {x + e for lang, ends in ENDINGS.items() for x in WARES[lang].split() for e in ends} | {x for xs in LURES.values() for x in xs.split()}
-    strict = {x + e for lang, ends in ENDINGS.items() for x in STRICT_STEMS[lang].split() for e in ends}
+    strict = {x + e for lang, ends in ENDINGS.items() for x in STRICT_STEMS[lang].split() for e in ends if e != "s"}
     strict |= {a + by + x + e for lang, ends in ENDINGS.items() for a in LURES[lang].split() for x in WARES[lang].split() for e in ends[:2] for by in ("", "-")}
     return dict.fromkeys(sorted(soft), 1) | dict.fromkeys(sorted(strict), STRICT)
 

@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.sources.workspace import Workspace, beside, keyed, small
+from tickloom.sources.workspace import Workspace, beside, bounded_batches, keyed, small
 
 __all__ = ["Workspace", "beside", "bounded_batches", "components", "hashed", "join_classes", "keyed", "small"]
 
-#: Rows and bytes of an Arrow batch of texts.
-ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
 #: Members from which a class is joined by broadcast, as all its rows would meet in one task; so classes of that size are few.
 HOT = 4096
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to sizes that fit whole texts: batches live in memory outside the heap, several to a task.
-
-    Results are read after the operator has returned, so the setting stays; it only ever lowers the session's.
-    """
-    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, None) or ""
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, most)
-
-
 def hashed(df: DataFrame) -> DataFrame:
     """The side of a join that grows with the data: built into hash tables by shuffle at every size, so the other side isn't sorted."""
     return df.hint("shuffle_hash")

@@ -33,6 +33,8 @@ REMEMBERED, REMEMBERED_LENGTH = 16 << 20, 60
 #: Texts in one Arrow batch that goes back.
 SLICE = 256
 NONE = 1 << 60
+#: A pattern by which a stretch of letters is one word.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: From here on the tokenizer's own character tables decide, which are of another version than Python's.
 BEYOND = "\u0500"
 #: Bits of an id in a packed pair, and in a packed (rank, merged id).
@@ -69,8 +71,10 @@ class Memory:
     def put(self, key: str, ids: bytes) -> None:
         if self.known.taken > self.most:
             self.known, self.older = Remembered(2 * self.most), self.known
+        known = self.known
         if len(key) <= REMEMBERED_LENGTH:
-            self.known.put(key, ids, len(key) + len(ids))
+            known[key] = ids  # what this generation takes stays far below the bound at which it would empty itself
+            known.taken += len(key) + len(ids) + known.ENTRY
 
 
 class Bpe:
@@ -94,9 +98,14 @@ class Bpe:
         self.inner = [vocab[x] for x in letters]
         self.last = [vocab[x + self.end] for x in letters]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.letters = pattern == LETTERS
         self.pieces = regex.compile(pattern.replace(r"\s", SPACE))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.marks = list(self.added)
+        self.leads = tuple({x[0] for x in self.marks})
+        # Of the pairs of bytes that a word begins with, what `ranks` has: inside the word and at its end.
+        pair = self.ranks.get
+        self.inside, self.ending = ([[pair(a << ID | b, NONE) for b in second] for a in self.inner] for second in (self.inner, self.last))
         self.space = regex.compile(f"[{SPACE}]+")
         self.cutter_spec = {**spec, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}
         self.cutter = None
@@ -104,12 +113,20 @@ class Bpe:
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one word, given as its bytes."""
-        parts = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        return self._scan(parts) if len(parts) <= SCAN else self._heap(parts)
-
-    def _scan(self, parts: list[int]) -> list[int]:
+        inner, n = self.inner, len(data)
+        parts = [inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        if n > SCAN:
+            return self._heap(parts)
+        inside = self.inside
+        ranks = [inside[a][b] for a, b in zip(data, data[1:-1], strict=False)]
+        if n > 1:
+            ranks.append(self.ending[data[-2]][data[-1]])
+        return self._scan(parts, ranks)
+
+    def _scan(self, parts: list[int], ranks: list[int]) -> list[int]:
+        """ranks: of each part with the one behind it."""
         find = self.ranks.get
-        ranks = [find(a << ID | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) != NONE:
             i = ranks.index(best)
             merged = best & (1 << ID) - 1
@@ -149,10 +166,27 @@ class Bpe:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids, as int32 bytes, of a stretch of text without white space."""
-        if self.marks and any(x in chunk for x in self.marks):
+        for x in self.leads:
+            if x in chunk:
+                break
+        else:
+            if self.letters and chunk.isalpha() and (word := self.lettered(chunk)):
+                return self.part(word)
+            return b"".join(map(self.part, self.words(chunk)))
+        if any(x in chunk for x in self.marks):
             return b"".join([array("i", [self.added[x]]).tobytes() if x in self.added else b"".join(map(self.part, self.words(x))) for x in self.special.split(chunk)])
         return b"".join(map(self.part, self.words(chunk)))
 
+    @staticmethod
+    def lettered(part: str) -> str:
+        """A stretch of letters as the one normalised word that it is; nothing where that takes a closer look."""
+        if part.isascii():
+            return part.lower()
+        if max(part) < BEYOND:
+            word = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            return word if word.isalpha() else ""
+        return ""
+
     def words(self, part: str) -> list:
         """Normalised words of a stretch. Those with rarer characters are cut by the library's own steps before BPE, made from the same file."""
         if part.isascii():
@@ -172,10 +206,11 @@ class Bpe:
         found = list(map(self.chunks.known.get, chunks))
         if None in found:
             new = {c: None for c, f in zip(chunks, found, strict=True) if f is None}
+            put, code = self.chunks.put, self.chunk
             for c in new:
-                if (ids := self.chunks.get(c)) is None:
-                    ids = self.chunk(c)
-                    self.chunks.put(c, ids)
+                if (ids := self.chunks.older.get(c)) is None:
+                    ids = code(c)
+                put(c, ids)
                 new[c] = ids
             found = [new[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
         return np.frombuffer(b"".join(found), np.int32)

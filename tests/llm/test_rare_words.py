@@ -44,3 +44,26 @@ def test_words_of_a_batch_have_the_features_of_each():
     docs = counted.docs([" ".join(words), "", "abc new abc"])
     assert np.array_equal(counted.rows[docs[0]], T.feature_rows([w.lower() for w in words])) and len(docs[1]) == 0
     assert np.array_equal(counted.rows[docs[2]], T.feature_rows(["abc", "new", "abc"]))
+
+
+def test_chunks_and_words_share_one_bounded_memory(monkeypatch):
+    """op4_bpe: a word of letters was remembered twice, as a chunk and as a word."""
+    from tickloom.llm import bpe as B
+    from tickloom.llm.worker import Remembered
+
+    monkeypatch.setattr(B, "REMEMBERED", 1 << 14)
+    text = open(B.default_path(), encoding="utf-8").read()
+    model = B.Bpe(text)
+    once = B.Bpe(text).encode("word").tolist()
+    assert model.encode("word Word word, wórd WÓRD").tolist()[: len(once)] == once
+    assert set(model.chunks.known) == {"word", "Word", "word,", ",", "wórd", "wórd", "WÓRD"}
+    rng = __import__("random").Random(3)
+    for _ in range(300):
+        chunks = ["".join(rng.choice("aBcé',.<|1") for _ in range(rng.choice((1, 3, 9, 70)))) for _ in range(rng.choice((1, 20, 200)))]
+        fresh = B.Bpe(text) if _ % 60 == 0 else None
+        got = model.encode(" ".join(chunks))
+        assert fresh is None or got.tolist() == fresh.encode(" ".join(chunks)).tolist() == [i for c in chunks for i in B.Bpe.encode(fresh, c).tolist()]
+        assert model.decode(got) == " ".join(model.tokens[i] for i in got.tolist())
+        kept = model.chunks.known
+        assert kept.taken == sum(len(k) + len(v) + Remembered.ENTRY for k, v in kept.items()) or kept.taken <= 2 * model.chunks.most
+        assert not model.fresh and max(map(len, [*kept, ""])) <= B.REMEMBERED_LENGTH

@@ -28,8 +28,8 @@ from tickloom.llm.worker import Remembered, cache, lean
 
 #: Longest word, in parts, that is scanned.
 SCAN = 64
-#: Bytes of chunks, and of words, in each of the two generations that a worker remembers, and the longest one; bounds memory, not the result.
-REMEMBERED, REMEMBERED_LENGTH = 16 << 20, 60
+#: Bytes of chunks and words in each of the two generations that a worker remembers, and the longest one; bounds memory, not the result.
+REMEMBERED, REMEMBERED_LENGTH = 32 << 20, 60
 #: Texts in one Arrow batch that goes back.
 SLICE = 256
 NONE = 1 << 60
@@ -62,19 +62,17 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.known, self.older = most, Remembered(2 * most), {}
 
-    def get(self, key: str) -> bytes | None:
-        found = self.known.get(key)
-        if found is None and (found := self.older.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, ids: bytes) -> None:
+    def put_all(self, new: dict[str, bytes]) -> None:
+        """Those of a text together; so many that they would fill a generation alone aren't kept."""
+        if max(map(len, new)) > REMEMBERED_LENGTH:
+            new = {key: ids for key, ids in new.items() if len(key) <= REMEMBERED_LENGTH}
+        size = sum(map(len, new)) + sum(map(len, new.values())) + len(new) * Remembered.ENTRY
+        if size > self.most:
+            return
         if self.known.taken > self.most:
             self.known, self.older = Remembered(2 * self.most), self.known
-        known = self.known
-        if len(key) <= REMEMBERED_LENGTH:
-            known[key] = ids  # what this generation takes stays far below the bound at which it would empty itself
-            known.taken += len(key) + len(ids) + known.ENTRY
+        self.known.update(new)  # what a generation takes stays at the bound at which it would empty itself
+        self.known.taken += size
 
 
 class Bpe:
@@ -109,7 +107,8 @@ class Bpe:
         self.space = regex.compile(f"[{SPACE}]+")
         self.cutter_spec = {**spec, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}
         self.cutter = None
-        self.chunks, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.table = np.array(self.tokens, object)
+        self.chunks, self.fresh = Memory(REMEMBERED), {}  # fresh: words of the text that is being coded
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one word, given as its bytes."""
@@ -158,10 +157,11 @@ class Bpe:
         return [p for p, live in zip(parts, alive, strict=True) if live]
 
     def part(self, word: str | bytes) -> bytes:
-        """Ids of a normalised word, as int32 bytes."""
-        if (ids := self.parts.get(word)) is None:
+        """Ids of a normalised word, as int32 bytes. As a chunk it has the same ones, so both are remembered together."""
+        ids = self.fresh.get(word) or self.chunks.known.get(word) or self.chunks.older.get(word)
+        if ids is None:
             ids = array("i", self.word(word.encode() if isinstance(word, str) else word)).tobytes()
-            self.parts.put(word, ids)
+        self.fresh[word] = ids
         return ids
 
     def chunk(self, chunk: str) -> bytes:
@@ -171,7 +171,7 @@ class Bpe:
                 break
         else:
             if self.letters and chunk.isalpha() and (word := self.lettered(chunk)):
-                return self.part(word)
+                return array("i", self.word(word.encode())).tobytes() if word == chunk else self.part(word)  # the chunk itself wasn't known
             return b"".join(map(self.part, self.words(chunk)))
         if any(x in chunk for x in self.marks):
             return b"".join([array("i", [self.added[x]]).tobytes() if x in self.added else b"".join(map(self.part, self.words(x))) for x in self.special.split(chunk)])
@@ -206,19 +206,17 @@ class Bpe:
         found = list(map(self.chunks.known.get, chunks))
         if None in found:
             new = {c: None for c, f in zip(chunks, found, strict=True) if f is None}
-            put, code = self.chunks.put, self.chunk
+            older, code = self.chunks.older.get, self.chunk
             for c in new:
-                if (ids := self.chunks.older.get(c)) is None:
-                    ids = code(c)
-                put(c, ids)
-                new[c] = ids
+                new[c] = older(c) or code(c)
+            self.chunks.put_all(self.fresh | new)
+            self.fresh.clear()
             found = [new[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
         return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids) -> str:
         """Without a decoder in the file the library joins the tokens with blanks."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids])
+        return " ".join(self.table[np.asarray(ids, np.int64)].tolist())
 
 
 def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -239,7 +237,7 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path
                 coded = [model.encode(t) for t in part.column(len(cols)).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))
-                texts = pa.array([model.decode(x.tolist()) if decode else None for x in coded], pa.string())
+                texts = pa.array([model.decode(x) if decode else None for x in coded], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(cols)], ids, texts], names=[*(c.split(" ")[0] for c in cols), "ids", "decoded"])
 
     coded = docs.select(*kept, text_col).mapInArrow(lean(run), ", ".join([*cols, "ids array<int>", "decoded string"]))

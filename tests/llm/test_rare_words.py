@@ -67,3 +67,13 @@ def test_chunks_and_words_share_one_bounded_memory(monkeypatch):
         kept = model.chunks.known
         assert kept.taken == sum(len(k) + len(v) + Remembered.ENTRY for k, v in kept.items()) or kept.taken <= 2 * model.chunks.most
         assert not model.fresh and max(map(len, [*kept, ""])) <= B.REMEMBERED_LENGTH
+
+
+def test_surrogates_name_their_large_expression_once(spark):
+    """op3_pii_surrogates: the plan held it 13 times, and the driver ran out of memory."""
+    from conftest import SF
+
+    from tickloom.llm import pii
+
+    plan = pii.surrogates(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 350_000  # 453 018 characters before

@@ -145,11 +145,10 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(weighted, F.lit(0), lambda a, x: a + x - F.when(x > 9, 9).otherwise(0))
 
 
-def _card(old: Column, salt: Column) -> Column:
-    """All digits but the last move; the last keeps its distance from the right check digit, so valid numbers stay valid."""
+def _card(old: Column, after: Column) -> Column:
+    """after: what all digits but the last become. All digits but the last move; the last keeps its distance from the right check digit, so valid numbers stay valid."""
     before = F.substring(old, F.lit(1), F.length(old) - 1)
-    put = lambda after: F.concat(after, F.pmod(F.substring(old, F.length(old), F.lit(1)).cast("int") + _luhn(before) - _luhn(after), F.lit(10)).cast("string"))
-    return _once(_halves(before, salt), put)
+    return F.concat(after, F.pmod(F.substring(old, F.length(old), F.lit(1)).cast("int") + _luhn(before) - _luhn(after), F.lit(10)).cast("string"))
 
 
 def _check97(country: Column, rest: Column) -> Column:
@@ -158,16 +157,13 @@ def _check97(country: Column, rest: Column) -> Column:
     return 98 - F.aggregate(chars, F.lit(0), lambda m, c: F.when(c.between("0", "9"), (m * 10 + F.ascii(c) - 48) % 97).otherwise((m * 100 + F.ascii(c) - 55) % 97))
 
 
-def _iban(old: Column, salt: Column) -> Column:
-    """The account moves; the check digits keep their distance from the right ones, so valid accounts stay valid."""
+def _iban(old: Column, after: Column) -> Column:
+    """after: what the account becomes. The account moves; the check digits keep their distance from the right ones, so valid accounts stay valid."""
     country, check, rest = F.substring(old, 1, 2), F.substring(old, 3, 2).cast("int"), F.substring(old, F.lit(5), F.length(old))
 
-    def put(after: Column) -> Column:
-        off = F.pmod(check - _check97(country, rest) + _check97(country, after) - 2, F.lit(97)) + 2
-        # 0, 1 and 99 are never right: they stay, so that different accounts stay different
-        return F.concat(country, F.lpad(F.when(check.between(2, 98), off).otherwise(check).cast("string"), 2, "0"), after)
-
-    return _once(_halves(rest, salt), put)
+    off = F.pmod(check - _check97(country, rest) + _check97(country, after) - 2, F.lit(97)) + 2
+    # 0, 1 and 99 are never right: they stay, so that different accounts stay different
+    return F.concat(country, F.lpad(F.when(check.between(2, 98), off).otherwise(check).cast("string"), 2, "0"), after)
 
 
 def _ip(s: Column, salt: Column) -> Column:
@@ -249,7 +245,8 @@ def _name(s: Column, salt: Column, male: Column, female: Column) -> Column:
             out = F.when((_script(part) == script) & (titled | (~male & ~female & listed) | neither), _picked(rows, moved)).otherwise(out)
         return out
 
-    return F.when(F.size(parts) > 1, F.concat(given(parts[0]), F.lit(" "), _family(parts[1], salt))).otherwise(_family(s, salt))
+    two = F.size(parts) > 1
+    return F.concat(F.when(two, F.concat(given(parts[0]), F.lit(" "))).otherwise(""), _family(F.when(two, F.get(parts, F.lit(1))).otherwise(s), salt))
 
 
 def _birth(s: Column, salt: Column) -> Column:
@@ -258,12 +255,12 @@ def _birth(s: Column, salt: Column) -> Column:
     return _into(s, F.array_join(F.transform(F.split(s, "[./-]"), moved), ""))
 
 
-def _street(s: Column, salt: Column) -> Column:
-    """House number and words move, the kind of street stays."""
+def _street(s: Column, salt: Column, after: Column) -> Column:
+    """after: what the house number behind its first digit becomes. House number and words move, the kind of street stays."""
     word = F.regexp_extract(s, r"(\p{Lu}\p{Ll}+?)(?:straße|strasse|gasse|allee|(?: \p{Lu}\p{Ll}+)? (?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Lane|Boulevard|Blvd\.))", 1)
     named = F.replace(s, word, _family(word, salt))
     digits = _digits(s)
-    return _into(named, F.concat(F.pmod(F.substring(digits, 1, 1).cast("int") - 1 + _number(salt, F.lit("n"), s), F.lit(9)) + 1, _halves(F.substring(digits, F.lit(2), F.length(digits)), salt)))
+    return _into(named, F.concat(F.pmod(F.substring(digits, 1, 1).cast("int") - 1 + _number(salt, F.lit("n"), s), F.lit(9)) + 1, after))
 
 
 def kind_of(entity: Column) -> Column:
@@ -300,20 +297,35 @@ def made_of(told: Column, kind: Column, key: str = KEY) -> Column:
     token = F.regexp_extract(told, r"^(?:[a-z]{2}_(?:live|test)_|gh[a-z]_|AKIA|xox[a-z]-)", 0)
     country = F.regexp_extract(told, r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", 0)
     plain, by = F.substring_index(told, "|", -1), F.substring_index(told, "|", 1)
-    return (
-        F.when(kind == "email", F.concat(_halves(local, salt), F.lit("@"), _halves(site, F.concat(salt, F.lit("@"))), F.substring(domain, F.length(site) + 1, F.length(domain))))
-        .when(kind == "ip", _ip(told, salt))
-        .when(kind == "card", _card(told, salt))
-        .when(kind == "secret", _hex(told, salt))
-        .when(kind == "iban", _iban(told, salt))
-        .when(kind == "token", F.concat(token, _halves(F.substring(told, F.length(token) + 1, F.length(told)), salt)))
-        .when(kind == "phone", F.when(F.length(told) > 10, F.concat(country, _halves(F.substring(told, F.length(country) + 1, F.length(told)), salt))).otherwise(_halves(told, salt)))
-        .when(kind == "name", _name(plain, salt, by == "m", by == "f"))
-        .when(kind == "birth", _birth(told, salt))
-        .when(kind == "street", _street(told, salt))
-        .otherwise(_halves(told, salt))
+    start = F.when(kind == "token", token).when((kind == "phone") & (F.length(told) > 10), country).otherwise("")
+    behind = lambda s, n: F.substring(s, n + 1, F.length(s))
+    # What moves by halves, whatever the kind: named once, as the expression is large, and each plan holds it as often as it is named.
+    part = lambda s, at=salt: F.struct(s.alias("part"), at.alias("salt"))
+    parts = (
+        F.when(kind == "email", F.array(part(local), part(site, F.concat(salt, F.lit("@")))))
+        .when(kind.isin("ip", "secret", "name", "birth"), F.array().cast("array<struct<part:string,salt:string>>"))
+        .when(kind == "card", F.array(part(F.substring(told, F.lit(1), F.length(told) - 1))))
+        .when(kind == "iban", F.array(part(behind(told, F.lit(4)))))
+        .when(kind == "street", F.array(part(behind(_digits(told), F.lit(1)))))
+        .otherwise(F.array(part(behind(told, F.length(start)))))
     )
 
+    def put(moved: Column) -> Column:
+        first = F.get(moved, F.lit(0))
+        return (
+            F.when(kind == "email", F.concat(first, F.lit("@"), F.get(moved, F.lit(1)), behind(domain, F.length(site))))
+            .when(kind == "ip", _ip(told, salt))
+            .when(kind == "card", _card(told, first))
+            .when(kind == "secret", _hex(told, salt))
+            .when(kind == "iban", _iban(told, first))
+            .when(kind == "name", _name(plain, salt, by == "m", by == "f"))
+            .when(kind == "birth", _birth(told, salt))
+            .when(kind == "street", _street(told, salt, first))
+            .otherwise(F.concat(start, first))
+        )
+
+    return _once(F.transform(parts, lambda x: _halves(x["part"], x["salt"])), put)
+
 
 def written(entity: Column, kind: Column, new: Column) -> Column:
     """A canonical surrogate in the format of the entity, without the words before it."""
